@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import neardup, runs
+from corvane.llm import leakage, neardup, runs
 
-QUERIES = runs.QUERIES | neardup.QUERIES
-SQL = runs.SQL | neardup.SQL
+QUERIES = runs.QUERIES | neardup.QUERIES | leakage.QUERIES
+SQL = runs.SQL | neardup.SQL | leakage.SQL
