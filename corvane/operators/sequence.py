@@ -59,3 +59,19 @@ def spans(starts: DataFrame, carry: dict[str, Column]) -> DataFrame:
         .withColumn("_next", F.when(F.col("_row") == F.col("_end"), F.col("_after")).otherwise(F.col("_lead")))
         .drop("_own", "_lead", "_end", "_after")
     )
+
+
+def running_total(df: DataFrame, group: str, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """df with `_before`, the sum of `value` over the rows of the same group that come before in the order of `by`. Staged.
+
+    Range-partitioned by (group, by), so a hot group is split. Across ranges one row per range and group is added up: at
+    most the number of ranges plus that of groups. Null values count as 0.
+    """
+    n = ranges or partitions(df.sparkSession)
+    inside = Window.partitionBy("_range", group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(n, group, *by).withColumn("_range", F.spark_partition_id())
+    rows = staged(ranged.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0))), "running")
+    sums = rows.groupBy("_range", group).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    return rows.join(F.broadcast(sums), ["_range", group]).select(*df.columns, (F.col("_carried") + F.col("_here")).alias("_before"))
