@@ -16,6 +16,7 @@ from corvane.sources.tables import table
 TYPES = ("prose", "list", "table", "junk")
 #: Tokens to either side over which the density of common and plain words is taken.
 REACH = 6
+LETTERS, DIGITS, GAP = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\S {2,}\S")
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*%?")
 EDGE = ".,;:!?()[]{}\"'*>#«»“”‘’¿¡…-–—•_~`"
 MARK = re.compile(r"\s*(?:[-*•+◦▪‣]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])\s+(?:\[[ xX]\]\s*)?")
@@ -40,10 +41,10 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
         return (0, 0, 0) + (0.0,) * (len(STATISTICS) - 3)
     lengths = np.fromiter(map(len, tokens), np.int64, n)
     chars = int(lengths.sum())
-    bare = [t.strip(EDGE) for t in map(str.lower, tokens)]
+    bare = [t.strip(EDGE) for t in text.lower().split()]  # lower() makes no white space
     is_common = np.fromiter((b in common for b in bare), np.int64, n)
     match = PLAIN.fullmatch
-    is_plain = np.fromiter((match(b) is not None for b in bare), np.int64, n)
+    is_plain = np.fromiter((b.isalpha() or match(b) is not None for b in bare), np.int64, n)
     at = np.arange(n)
     low, high = np.maximum(at - REACH, 0), np.minimum(at + REACH + 1, n)
     span = high - low
@@ -61,8 +62,7 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
     fresh[-2:] = fresh[max(n - 3, 0)]
     sizes = np.concatenate([[0], np.cumsum(lengths)])
     said_so_far = np.concatenate([[0], np.cumsum(lengths * fresh)])
-    joined = "".join(tokens)
-    letters, digits = sum(map(str.isalpha, joined)), sum(map(str.isdigit, joined))
+    letters, digits = sum(map(len, LETTERS.findall(text))), sum(map(len, DIGITS.findall(text)))
     lines = ended = listed = short = cells = pairs = said = 0
     widths: dict[tuple[str, int], int] = {}
     i = 0
@@ -79,17 +79,19 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
         ended += last in ".!?:;…\"”»)"
         sentence = len(words) >= 2 and many >= 0.12 * k
         said += int(said_so_far[i] - said_so_far[i - k]) * sentence
-        listed += size * (MARK.match(line) is not None and not sentence)
+        if sentence:
+            continue
+        listed += size * (MARK.match(line) is not None)
         short += size * (k <= 6 and len(words) < 2)
-        pairs += size * (len(PAIR.findall(line)) * 2 >= k and not sentence)
+        pairs += size * (("=" in line or ":" in line) and len(PAIR.findall(line)) * 2 >= k)
         for sep in ("|", "\t", ",", ";"):
-            if (m := line.count(sep)) >= 2 and not sentence:
+            if (m := line.count(sep)) >= 2:
                 widths[sep, m] = widths.get((sep, m), 0) + size
-        if not sentence and (m := len(re.findall(r"\S {2,}\S", line))) >= 2:
+        if "  " in line and (m := len(GAP.findall(line))) >= 2:
             widths[" ", m] = widths.get((" ", m), 0) + size
     cells = max(widths.values(), default=0)
     return (
-        n, lines, chars, chars / n, 1 - (letters + digits) / len(joined), digits / len(joined),
+        n, lines, chars, chars / n, 1 - (letters + digits) / chars, digits / chars,
         ended / lines, float(is_common.mean()), float(lengths[fluent & fresh].sum() / chars), said / chars,
         float(is_plain.mean()), min(1.0, max(len(seen), 1) / max(1, n - 2)), listed / chars, short / chars, min(1.0, cells / chars), min(1.0, pairs / chars),
     )
