@@ -119,7 +119,7 @@ def two_places(x: Column) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole days between two instants, truncated toward zero."""
-    return ((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400000000)).cast("int")
+    return ((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86400000000)).cast("int")
 
 
 def evidence_file(day: Column, kind: Column, target: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.session import staged
+
 #: A key is hot when it holds more than this share of all rows of the large side; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 512
 MIN_ROWS = 50_000
@@ -26,3 +28,23 @@ def salted_join(large: DataFrame, keyed: DataFrame, on: str, weight: str, spread
     left = large.join(F.broadcast(hot), on, "left").withColumn("_salt", pick).drop("_salts")
     right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > limit, salts - 1).otherwise(0)))).drop(weight)
     return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(large: DataFrame, on: str) -> DataFrame:
+    """on, _salts for the hot keys of large: at most 1 / HOT_SHARE rows. Staged, to salt several joins alike."""
+    counts = large.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    limit = max(MIN_ROWS, int(total * HOT_SHARE))
+    return staged(counts.filter(F.col("_n") > limit).select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot")
+
+
+def salted(large: DataFrame, hot: DataFrame, on: str, spread: list[str]) -> DataFrame:
+    """large with `_salt`, for joins on (on, _salt) with spread_out()."""
+    pick = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))
+    return large.join(F.broadcast(hot), on, "left").withColumn("_salt", pick).drop("_salts")
+
+
+def spread_out(keyed: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+    """keyed with one row per salt of its key."""
+    last = F.coalesce(F.col("_salts") - 1, F.lit(0))
+    return keyed.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")

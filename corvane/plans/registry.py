@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.operators import hierarchy, history, references
+from corvane.operators import hierarchy, history, references, reliability, store
 
-QUERIES = references.QUERIES | hierarchy.QUERIES | history.QUERIES
-SQL = references.SQL | hierarchy.SQL | history.SQL
+_MODULES = (references, hierarchy, history, store, reliability)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
