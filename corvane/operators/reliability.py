@@ -13,8 +13,8 @@ from corvane.operators.store import q, updated
 from corvane.session import staged
 
 EXPIRED = 0.1
-#: Relaxation rounds in one job.
-ROUNDS = 3
+#: Rounds of relaxation, or steps along a path, in one job.
+ROUNDS = 5
 
 
 def evidence_scores(evidence: DataFrame, at: Column) -> DataFrame:
@@ -82,15 +82,30 @@ def _cyclic(open_: DataFrame, state: DataFrame, edges: DataFrame, over) -> DataF
     """Values of the nodes that reach a cycle, by their simple paths."""
     inner = staged(edges.join(open_.select("id"), "id", "left_semi"), "inner")
     ends = staged(over(state.select(F.col("id").alias("dep"), "self_score", "r", "settled"), inner).select(F.col("id").alias("node"), "dep", "pen", "self_score", "r", "settled"), "steps")
-    front = staged(open_.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("lost")), "front")
-    found = [open_.select(F.col("id").alias("root"), F.col("self_score").alias("v"))]
-    while not front.isEmpty():
-        step = front.join(ends, "node").withColumn("lost", F.col("lost") + F.col("pen"))
-        back = F.array_contains("path", F.col("dep"))
-        worth = F.when(back, F.lit(1.0)).when(F.col("settled"), F.col("r")).otherwise(F.col("self_score")) - F.col("lost")
-        step = staged(step.select("root", "dep", "path", "lost", F.greatest(F.lit(0.0), worth).alias("v"), (~back & ~F.col("settled") & (F.col("lost") < 1.0 - 1e-9)).alias("on")), "step")
-        found.append(step.groupBy("root").agg(F.min("v").alias("v")))
-        front = staged(step.filter("on").select("root", F.col("dep").alias("node"), F.concat("path", F.array("dep")).alias("path"), "lost"), "front")
+    ends = ends.withColumnRenamed("node", "_key")
+
+    def extended(rows: DataFrame) -> DataFrame:
+        """Each open path by one step; a closed one as it is, joined by a key of its own that matches nothing."""
+        own = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("root")))
+        step = rows.withColumn("_key", own).join(ends, "_key", "left")
+        hit, lost, back = F.col("dep").isNotNull(), F.col("lost") + F.col("pen"), F.array_contains("path", F.col("dep"))
+        worth = F.when(back, F.lit(1.0)).when(F.col("settled"), F.col("r")).otherwise(F.col("self_score")) - lost
+        on = hit & ~back & ~F.col("settled") & (lost < 1.0 - 1e-9)
+        return step.select(
+            "root", F.coalesce("dep", "node").alias("node"), F.when(on, F.concat("path", F.array("dep"))).otherwise(F.col("path")).alias("path"), F.coalesce(lost, "lost").alias("lost"),
+            F.when(hit, F.least("best", F.greatest(F.lit(0.0), worth))).otherwise(F.col("best")).alias("best"), F.coalesce(on, F.lit(False)).alias("on"),
+        )
+
+    front = open_.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("lost"), F.col("self_score").alias("best"), F.lit(True).alias("on"))
+    found = []
+    while True:
+        for _ in range(ROUNDS):
+            front = extended(front)
+        front = staged(front, "front")
+        found.append(front.groupBy("root").agg(F.min("best").alias("v")))
+        front = front.filter("on")
+        if front.isEmpty():
+            break
     least = reduce(DataFrame.unionByName, found).groupBy("root").agg(F.min("v").alias("r"))
     return open_.join(least.withColumnRenamed("root", "id"), "id").select("id", "self_score", "r")
 

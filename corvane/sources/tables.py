@@ -54,8 +54,8 @@ def validated(files: DataFrame) -> DataFrame:
 
 
 def healed(files: DataFrame, holons: DataFrame) -> DataFrame:
-    """Each file as it should be: a tampered document is replaced by the projection of its holon, if there is one."""
-    ours = projection(holons).select(S.holon_id_of_path(F.concat(F.lit("/"), F.col("path"))).alias("_id"), F.col("document").alias("_fresh")).dropDuplicates(["_id"])
+    """Each file as it should be: a tampered document is replaced by the projection of its holon, if its path names one."""
+    ours = projection(holons).select(S.holon_id_of_path(F.concat(F.lit("/"), F.col("path"))).alias("_id"), F.col("document").alias("_fresh")).filter(F.col("_id") != "").dropDuplicates(["_id"])
     bad = S.tampered(F.col("document"))
     joined = files.withColumn("_id", S.holon_id_of_path(F.col("path"))).join(ours, "_id", "left")
     return joined.select("path", F.when(bad, F.coalesce("_fresh", "document")).otherwise(F.col("document")).alias("document"), bad.alias("was_tampered"))
