@@ -129,8 +129,8 @@ PATTERNS = prod(len(cuts) + 1 for _, cuts in FUNCTIONS)
 
 #: What a function says before any data are seen: the probability of its highest vote for prose, list, table and junk.
 PRIOR = {
-    "sentence_share": (0.95, 0.05, 0.05, 0.1), "sentence_lines": (0.9, 0.05, 0.05, 0.1), "common_words": (0.9, 0.05, 0.05, 0.1),
-    "distinct_trigrams": (0.98, 0.95, 0.95, 0.7), "plain_words": (0.98, 0.9, 0.4, 0.4), "symbol_ratio": (0.05, 0.2, 0.5, 0.4),
+    "sentence_share": (0.99, 0.03, 0.03, 0.05), "sentence_lines": (0.97, 0.05, 0.05, 0.1), "common_words": (0.9, 0.05, 0.05, 0.1),
+    "distinct_trigrams": (0.999, 0.95, 0.95, 0.6), "plain_words": (0.98, 0.9, 0.4, 0.4), "symbol_ratio": (0.05, 0.2, 0.5, 0.4),
     "digit_ratio": (0.05, 0.1, 0.6, 0.2), "mean_word_length": (0.05, 0.1, 0.3, 0.5), "listed_lines": (0.05, 0.7, 0.1, 0.05),
     "short_lines": (0.05, 0.9, 0.4, 0.4), "cell_lines": (0.05, 0.05, 0.6, 0.05), "pair_lines": (0.02, 0.05, 0.4, 0.1), "n_words": (0.99, 0.99, 0.99, 0.7),
 }
