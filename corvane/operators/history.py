@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import key
-from corvane.operators.sequence import ordered, spans
+from corvane.operators.sequence import boundaries, opening, spans
 from corvane.session import staged
 from corvane.sources.tables import table
 
@@ -41,7 +43,7 @@ def states(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def changes(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The states in order, each with a flag per satellite: new_layer, new_cached_r_score. Staged.
+    """The states that change something, in order, with a flag per satellite: new_layer, new_cached_r_score. Staged.
 
     A satellite row is appended only where the hash of its attributes differs from that of the state just before. The
     states are range-partitioned by (id, updated_at), so an id with a third of all states is split like any other.
@@ -49,10 +51,14 @@ def changes(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
     hashed = states(holons, snapshots)
     for c in SATELLITES:
         hashed = hashed.withColumn(f"hash_{c}", F.xxhash64(c))
-    rows = ordered(hashed, ["id", "updated_at"], ["id", *[f"hash_{c}" for c in SATELLITES]])
-    other = F.col("_prev").isNull() | (F.col("_prev.id") != F.col("id"))
+    hashes = [f"hash_{c}" for c in SATELLITES]
+
+    def new(prev: Column, c: str) -> Column:
+        return prev.isNull() | (prev["id"] != F.col("id")) | (prev[f"hash_{c}"] != F.col(f"hash_{c}"))
+
+    rows = opening(boundaries(hashed, ["id", "updated_at"], ["id", *hashes], lambda prev: reduce(Column.__or__, [new(prev, c) for c in SATELLITES])))
     for c in SATELLITES:
-        rows = rows.withColumn(f"new_{c}", other | (F.col(f"_prev.hash_{c}") != F.col(f"hash_{c}")))
+        rows = rows.withColumn(f"new_{c}", new(F.col("_prev"), c))
     return rows
 
 

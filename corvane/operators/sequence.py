@@ -7,43 +7,61 @@ ranges, and one summary row per range carries the neighbour across its edge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from corvane.session import partitions, staged
 
 
-def ordered(df: DataFrame, by: list[str], carry: list[str], ranges: int | None = None) -> DataFrame:
-    """df in the order of `by`, with `_index` (0-based place in the whole) and `_prev`, the struct of the `carry` columns
-    of the row just before, null for the very first. Also `_range`, the range a row is in, and `_row`, its place there.
+def boundaries(df: DataFrame, by: list[str], carry: list[str], differs: Callable[[Column], Column], ranges: int | None = None) -> DataFrame:
+    """For opening(): the rows of df that differ from the row just before in the order of `by`; the first row of all always does.
 
-    Nulls sort first. Rows that tie on all of `by` come in an arbitrary but fixed order: the result is staged.
+    differs gets the struct of the `carry` columns of the row before and says whether a row opens something new; null
+    counts as yes. A kept row has `_prev`, that struct, null for the first of all; `_index`, its 0-based place among all
+    rows, so that differences of places count the rows between; `_range` and `_row`. opening() filters the boundaries,
+    last_row() tells about the end. Rows that equal their predecessor go no further than the task that
+    sees both: what is staged is the boundaries, and the first and last row of each range. Nulls sort first; ties on all
+    of `by` come in an arbitrary but fixed order.
     """
     n = ranges or partitions(df.sparkSession)
     inside = Window.partitionBy("_range").orderBy(*by)
     ranged = df.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id())
-    rows = staged(
-        ranged.withColumn("_row", F.row_number().over(inside)).withColumn("_before", F.lag(F.struct(*carry)).over(inside)),
-        "ordered",
-    )
+    rows = ranged.select(
+        "*", F.row_number().over(inside).alias("_row"), F.lag(F.struct(*carry)).over(inside).alias("_before"),
+        F.lead(F.lit(True)).over(inside).isNull().alias("_ends"),
+    )
+    opens = F.coalesce(differs(F.col("_before")), F.lit(True))
+    rows = staged(rows.filter((F.col("_row") == 1) | F.col("_ends") | opens), "ordered")
     # One row per range: at most n.
-    edges = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.max_by(F.struct(*carry), "_row").alias("_last"))
     across = Window.orderBy("_range")
-    edges = edges.select(
+    edges = rows.filter("_ends").select(
         "_range",
-        F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.lag("_last").over(across).alias("_carried"),
+        F.coalesce(F.sum("_row").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.lag(F.struct(*carry)).over(across).alias("_carried"),
+        (F.col("_row") + F.coalesce(F.sum("_row").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_through"),
     )
-    return rows.join(F.broadcast(edges), "_range").select(
-        *df.columns,
-        "_range",
-        "_row",
+    placed = rows.join(F.broadcast(edges), "_range").select(
+        *df.columns, "_range", "_row", "_ends", "_through",
         (F.col("_offset") + F.col("_row") - 1).alias("_index"),
         F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_before")).alias("_prev"),
-    )
+    )
+    return placed.withColumn("_opens", F.coalesce(differs(F.col("_prev")), F.lit(True)))
+
+
+def opening(placed: DataFrame) -> DataFrame:
+    """The boundary rows of boundaries()."""
+    return placed.filter("_opens")
+
+
+def last_row(placed: DataFrame, columns: list[str]) -> Row:
+    """Of the very last row of all: the number of rows, and the given columns; nulls and 0 where there is no row."""
+    ends = placed.filter("_ends")
+    return ends.agg(F.coalesce(F.max("_through"), F.lit(0)), *[F.max_by(c, "_range") for c in columns]).first()
 
 
 def spans(starts: DataFrame, carry: dict[str, Column]) -> DataFrame:
-    """For boundary rows of ordered(): `_next`, the struct of `carry` at the next boundary in the whole order, null at the last one.
+    """For rows of opening(): `_next`, the struct of `carry` at the next boundary in the whole order, null at the last one.
 
     carry is evaluated on the next boundary row; it may use `_prev` there, which is the row that ends this span.
     """

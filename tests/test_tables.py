@@ -4,16 +4,17 @@ from corvane.operators import freshness, history, model, references, sequence
 from pyspark.sql import functions as F
 
 
-def test_order_and_spans(spark):
+def test_boundaries_and_spans(spark):
     data = [(k, i) for k in ("a", "b", None) for i in range(30)]
-    rows = sequence.ordered(spark.createDataFrame(data, "k string, i int"), ["k", "i"], ["k", "i"], 7)
-    got = [(r.k, r.i, r._index, r._prev) for r in rows.orderBy("_index").collect()]
-    want = sorted(data, key=lambda r: (r[0] or "", r[1]))
-    assert [g[:2] for g in got] == want and [g[2] for g in got] == list(range(90))
-    assert [tuple(g[3]) if g[3] else None for g in got] == [None, *want[:-1]]
-    tens = rows.filter("i % 10 = 0")
-    led = sequence.spans(tens, {"index": F.col("_index")}).orderBy("_index").collect()
-    assert [r._next["index"] if r._next else None for r in led] == [*range(10, 90, 10), None]
+    differs = lambda prev: ~(prev["k"].eqNullSafe(F.col("k")) & (F.floor(prev["i"] / 10) == F.floor(F.col("i") / 10)))
+    for ranges in (1, 7, 40):
+        placed = sequence.boundaries(spark.createDataFrame(data, "k string, i int"), ["k", "i"], ["k", "i"], differs, ranges)
+        got = [(r.k, r.i, r._index, tuple(r._prev) if r._prev else None) for r in sequence.opening(placed).orderBy("_index").collect()]
+        want = sorted(data, key=lambda r: (r[0] or "", r[1]))
+        assert got == [(*want[j], j, want[j - 1] if j else None) for j in range(0, 90, 10)]
+        led = sequence.spans(sequence.opening(placed), {"index": F.col("_index")}).orderBy("_index").collect()
+        assert [r._next["index"] if r._next else None for r in led] == [*range(10, 90, 10), None]
+        assert tuple(sequence.last_row(placed, ["k", "i"])) == (90, "b", 29)
 
 
 def test_running_total(spark):
