@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import key
-from corvane.operators.sequence import ordered, spans
+from corvane.operators.sequence import boundaries, last_row, opening, spans
 from corvane.sources.tables import table
 
 GAP_SECONDS = 600
@@ -97,20 +97,20 @@ def collapsed(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     An event without a timestamp is a run of its own.
     """
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    seq = ordered(rows.withColumn("at", at), ["context_id", "timestamp", "id"], ["context_id", "tool", "digest", "id", "timestamp", "at"])
-    same = (
-        F.col("_prev").isNotNull() & (F.col("_prev.context_id") == F.col("context_id")) & (F.col("_prev.tool") == F.col("tool"))
-        & same_digest(F.col("_prev.digest"), F.col("digest")) & (F.col("at") - F.col("_prev.at") <= gap_seconds * 1_000_000)
-    )
-    starts = seq.filter(~F.coalesce(same, F.lit(False)))
-    led = spans(starts, {"index": F.col("_index"), "id": F.col("_prev.id"), "at": F.col("_prev.at")})
-    # The last run of all ends with the last event of all: one row.
-    final = seq.agg(F.count("*"), F.max_by("id", "_index"), F.max_by("at", "_index")).first()
+
+    def differs(prev: Column) -> Column:
+        same = (prev["context_id"] == F.col("context_id")) & (prev["tool"] == F.col("tool")) & (F.col("at") - prev["at"] <= gap_seconds * 1_000_000)
+        return ~(same & same_digest(prev["digest"], F.col("digest")))
+
+    placed = boundaries(rows.withColumn("at", at).drop("timestamp"), ["context_id", "at", "id"], ["context_id", "tool", "digest", "id", "at"], differs)
+    led = spans(opening(placed), {"index": F.col("_index"), "id": F.col("_prev.id"), "at": F.col("_prev.at")})
+    # The last run of all ends with the last event of all.
+    final = last_row(placed, ["id", "at"])
     ends = {"index": "long", "id": "string", "at": "long"}
     end = {k: F.when(F.col("_next").isNotNull(), F.col(f"_next.{k}")).otherwise(F.lit(v).cast(kind)) for (k, kind), v in zip(ends.items(), final)}
     return led.select(
         "context_id", "tool", F.col("id").alias("first_id"), end["id"].alias("last_id"),
-        F.col("timestamp").alias("first_at"), F.timestamp_micros(end["at"]).cast("timestamp_ntz").alias("last_at"),
+        F.timestamp_micros(F.col("at")).cast("timestamp_ntz").alias("first_at"), F.timestamp_micros(end["at"]).cast("timestamp_ntz").alias("last_at"),
         (end["index"] - F.col("_index")).alias("n_events"), ((end["at"] - F.col("at")) / 1e6).alias("duration_s"),
     )
 
