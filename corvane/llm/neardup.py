@@ -73,7 +73,7 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, class): the pairs of each bucket of up to BUCKET members as (null key, a, b); the members
+    """Over rows sorted by key: the pairs of each bucket of up to BUCKET members as (null key, a, b); the members
     of a larger one as (key, class, null). At most a batch and a bucket are held."""
     names = ["key", "a", "b"]
     hot, keep_k, keep_c = None, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -172,7 +172,7 @@ def similar(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     bands, rows = bands_and_rows(filled.count(), threshold, recall)
     n = partitions(spark)
     keys = banded(filled.repartition(n, "class"), bands, rows)
-    bucketed = keys.repartition(n, "key").sortWithinPartitions("key", "class")
+    bucketed = keys.repartition(n, "key").sortWithinPartitions("key")  # one long: a radix sort
     out = staged(bucketed.mapInArrow(_pairs, "key long, a long, b long"), "buckets")
     pairs = out.filter(F.col("b").isNotNull()).select("a", "b")
     crowd = out.filter(F.col("b").isNull()).select("key", F.col("a").alias("class"))
