@@ -126,8 +126,8 @@ def _shards(items: Items, shard_words: int):
             begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             item, place, where, length = items.search(np.concatenate(texts))
             doc = np.searchsorted(begin, where, side="right") - 1
-            # The longest match of each document and item; the earliest of several.
-            order = np.lexsort((where, -length, item, doc))
+            # The longest match of each document and item; of several, the earliest in the document, then in the item.
+            order = np.lexsort((place, where, -length, item, doc))
             doc, item, place, where, length = doc[order], item[order], place[order], where[order], length[order]
             first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])[: len(doc)]
             doc, item, place, where, length = doc[first], item[first], place[first], where[first], length[first]
@@ -208,9 +208,21 @@ dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1
 eg AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM e WHERE len(w) >= 12),
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
 """
+_LONG = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(range(len(w) - 11)) AS at_, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12),
+eg AS (SELECT item_id, unnest(range(len(w) - 11)) AS place, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM e WHERE len(w) >= 12),
+both_ AS (SELECT doc_id, item_id, at_, place, at_ - row_number() OVER (PARTITION BY doc_id, item_id, at_ - place ORDER BY at_) AS island FROM dg JOIN eg USING (g)),
+run AS (SELECT doc_id, item_id, count(*) + 11 AS n, min(at_) AS at_, min(place) AS place FROM both_ GROUP BY doc_id, item_id, at_ - place, island),
+best AS (SELECT doc_id, item_id, CAST(n AS INT) AS match_words, CAST(at_ AS INT) AS doc_word, CAST(place AS INT) AS item_word FROM run
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, at_, place) = 1)
+"""
 
 QUERIES = {"p6_found": found, "p6_passages": passages, "p6_leaked_items": leaked_items, "p6_clean": clean}
 SQL = {
     "p6_found": _SQL + "SELECT doc_id, item_id FROM hit",
+    "p6_passages": _LONG + "SELECT * FROM best",
+    "p6_leaked_items": _LONG + "SELECT item_id, suite, count(doc_id) AS n_docs, coalesce(max(match_words), 0) AS longest FROM eval_items LEFT JOIN best USING (item_id) GROUP BY 1, 2",
     "p6_clean": _SQL + "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
 }

@@ -272,6 +272,14 @@ WITH one AS (
 both_ AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS total, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2, 3)
 SELECT id_a, id_b FROM both_ WHERE c * 10 >= 7 * (total - c)
 """
+_GROUPS = _SQL.replace("WITH one", "WITH RECURSIVE one").replace("SELECT id_a, id_b FROM both_", ", pair AS (SELECT id_a, id_b FROM both_") + """),
+link AS (SELECT id_a AS x, id_b AS y FROM pair UNION SELECT id_b, id_a FROM pair),
+reach AS (SELECT id AS x, id AS y FROM one UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+class AS (SELECT id, words, count(*) OVER (PARTITION BY words) AS n_copies FROM one)
+SELECT c.id, min(r.y) AS group_id, n_copies,
+  (SELECT count(DISTINCT o.words) FROM link l JOIN class o ON o.id = l.y WHERE l.x = c.id AND o.words <> c.words) AS n_links
+FROM class c JOIN reach r ON r.x = c.id GROUP BY c.id, n_copies, c.words
+"""
 
 QUERIES = {"p4_found": found, "p4_groups": groups}
-SQL = {"p4_found": _SQL}
+SQL = {"p4_found": _SQL, "p4_groups": _GROUPS}
