@@ -90,6 +90,11 @@ SQL = {
     "stale_holon_count": sql("SELECT count(DISTINCT holon_id) AS n FROM stale", _STALE),
     "active_waivers": sql("SELECT *, days_until_expiry <= 30 AS expires_soon FROM waived", _STALE),
     "expiring_waivers_30d": sql("SELECT evidence_id, days_until_expiry FROM waived WHERE days_until_expiry <= 30", _STALE),
+    "freshness_report": sql("""SELECT 1 AS section, '' AS item, CASE WHEN count(*) = 0 THEN '### All holons FRESH ✓' ELSE printf('### STALE (%d holons require action)', count(DISTINCT holon_id)) END AS line FROM stale
+        UNION ALL SELECT DISTINCT 2, holon_id || ' 0', printf('#### %s (%s)', coalesce(title, ''), coalesce(layer, '')) FROM stale
+        UNION ALL SELECT 2, concat_ws(' ', holon_id, '1', lpad(CAST(1000000 - days_overdue AS VARCHAR), 8, '0'), evidence_id), printf('| %s | %s | EXPIRED | %d days overdue |', evidence_id, evidence_type, days_overdue) FROM stale
+        UNION ALL SELECT 3, strftime(waived_until, '%Y-%m-%d %H:%M:%S') || ' ' || evidence_id, printf('| %s | %s | %s | %s | %s |', coalesce(title, ''), evidence_id, strftime(waived_until, '%Y-%m-%d'), waived_by, coalesce(rationale, '')) FROM waived
+        UNION ALL SELECT 4, strftime(waived_until, '%Y-%m-%d %H:%M:%S') || ' ' || evidence_id, printf('⚠️ Waiver for %s expires in %d days', evidence_id, days_until_expiry) FROM waived WHERE days_until_expiry <= 30""", _STALE),
     "waiver_requests": sql(f"""SELECT w.evidence_id, strftime(waived_until, '%Y-%m-%d') AS until, rationale, date_trunc('day', waived_until) AS waived_until,
         CASE WHEN coalesce(rationale, '') = '' THEN 'until and rationale are required' WHEN e.id IS NULL THEN 'unknown evidence' WHEN date_trunc('day', waived_until) <= TIMESTAMP '{AS_OF}' THEN 'until is not in the future' END AS problem
         FROM w LEFT JOIN e ON e.id = w.evidence_id"""),
