@@ -2,7 +2,7 @@
 
 Every operator of this package that takes holons, evidence, relations, waivers or audit rows takes them in this form.
 Rows without a key are left out. Of holons with one id the row updated last counts, of other repeated keys the one
-created last; ties go to the larger values. Extra columns are dropped.
+created last; where these tie, each column's larger value. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,12 +29,13 @@ def layer_name(x: Column) -> Column:
 
 
 def _latest(df: DataFrame, keys: dict[str, Column], first: list[str], rest: dict[str, Column]) -> DataFrame:
-    row = F.struct(*[rest[c].alias(c) for c in first], *[v.alias(c) for c, v in rest.items() if c not in first])
-    named = df.select(*[v.alias(f"_k_{c}") for c, v in keys.items()], row.alias("_r"))
+    """One row per key, the largest by the `first` columns in turn; where all of these tie, each other column its largest
+    value. An aggregate per column, not one over packed rows, so that columns nobody asks for are never read."""
+    named = df.select(*[v.alias(f"_k_{c}") for c, v in keys.items()], *[v.alias(c) for c, v in rest.items()])
     for c in keys:
         named = named.filter(F.col(f"_k_{c}").isNotNull())
-    out = named.groupBy(*[f"_k_{c}" for c in keys]).agg(F.max("_r").alias("_r"))
-    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keys], *[f"_r.{c}" for c in rest])
+    picked = [F.max(F.struct(*first, *([] if c in first else [c])))[c].alias(c) for c in rest]
+    return named.groupBy(*[F.col(f"_k_{c}").alias(c) for c in keys]).agg(*picked)
 
 
 def _cols(*names: str) -> dict[str, Column]:

@@ -229,7 +229,7 @@ SQL = {
     "reliability": sql("SELECT id, round(self_score, 6) AS self_score, round(r, 6) AS r FROM score", _R, True),
     "weakest_links": sql("SELECT id, r, weakest_link FROM report", _R, True),
     "reliability_l2_comparison": sql("SELECT id, title, r, weakest_link FROM report WHERE layer = 'L2'", _R, True),
-    "reliability_report": sql("""SELECT report.id, printf('## Reliability Report: %s' || chr(10) || chr(10) || '**R_eff: %.2f**' || chr(10) || '- Self Score: %.2f' || chr(10), report.id, report.r, round(score.self_score, 6))
+    "reliability_report": sql("""SELECT report.id, printf('## Reliability Report: %s' || chr(10) || chr(10) || '**R_eff: %.2f**' || chr(10) || '- Self Score: %.2f' || chr(10), report.id, round(report.r, 2), round(round(score.self_score, 6), 2))
         || coalesce('- Weakest Link: ' || weakest_link || chr(10), '') || CASE WHEN n_expired > 0 THEN printf('- Decay Penalty: %.2f' || chr(10), round(n_expired * CAST(0.9 AS DOUBLE), 6)) ELSE '' END
         || CASE WHEN len(f) > 0 THEN chr(10) || '**Factors:**' || chr(10) || array_to_string(['- ' || x || chr(10) for x in f], '') ELSE '' END AS report
         FROM report JOIN score ON score.id = report.id LEFT JOIN own ON own.holon_id = report.id LEFT JOIN factor_ ON factor_.id = report.id""", _R.rstrip() + """,

@@ -203,3 +203,24 @@ def test_store(spark):
     holons = spark.createDataFrame([("h", "L1", day(1)), ("i", "L0", day(1))], "id string, layer string, updated_at timestamp_ntz")
     moves = spark.createDataFrame([("h", "L1", "L2"), ("i", "L1", "L2")], "id string, from_layer string, to_layer string")
     assert {x.id: (x.layer, x.updated_at) for x in store.moved(holons, moves, model.as_of(str(day(3)))).collect()} == {"h": ("L2", day(3)), "i": ("L0", day(1))}
+
+
+def test_audit_rows(spark):
+    calls = spark.createDataFrame([("l1", "tool", "op", "agent", "h", "SUCCESS", {"b": "2", "a": "1"}, None), ("l2", "tool", "op", "agent", None, "SUCCESS", {"a": "1", "b": "2"}, None), ("l3", None, None, None, None, None, None, None)], "id string, tool_name string, operation string, actor string, target_id string, result string, input map<string,string>, details string")
+    rows = {x.id: x for x in store.audit_rows(calls, model.as_of(str(day(3)))).collect()}
+    assert rows["l1"].input_hash == rows["l2"].input_hash and len(rows["l1"].input_hash) == 16 and rows["l3"].input_hash is None
+    assert rows["l1"].context_id == "default" and rows["l1"].timestamp == day(3)
+
+
+def test_every_table_empty(spark):
+    from corvane.operators import freshness, search
+
+    holons, ev, rel, at = scores(spark, [], [])
+    holons, ev, rel = holons.limit(0), ev.limit(0), rel.limit(0)
+    assert reliability.reliability(holons, ev, rel, at).count() == 0
+    assert reliability.reports(holons, ev, rel, at).count() == 0
+    assert graph.reachable(spark.createDataFrame([], "seed string"), graph.edges(rel)).count() == 0
+    assert graph.closing(spark.createDataFrame([], "source string, target string"), graph.edges(rel)).count() == 0
+    wv = spark.createDataFrame([], "id string, evidence_id string, waived_until timestamp_ntz, waived_by string, rationale string")
+    assert freshness.stale_evidence(holons, ev, wv, at).count() == 0
+    assert search.decision_listing(holons, rel).count() == 0
