@@ -83,11 +83,14 @@ def _cyclic(open_: DataFrame, state: DataFrame, edges: DataFrame, over) -> DataF
     inner = staged(edges.join(open_.select("id"), "id", "left_semi"), "inner")
     ends = staged(over(state.select(F.col("id").alias("dep"), "self_score", "r", "settled"), inner).select(F.col("id").alias("node"), "dep", "pen", "self_score", "r", "settled"), "steps")
     ends = ends.withColumnRenamed("node", "_key")
+    hot = hot_keys(ends, "_key")
+    ends = staged(salted(ends, hot, "_key", ["dep"]), "ends")
 
     def extended(rows: DataFrame) -> DataFrame:
         """Each open path by one step; a closed one as it is, joined by a key of its own that matches nothing."""
         own = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("root")))
-        step = rows.withColumn("_key", own).join(ends, "_key", "left")
+        # A hot node's row goes to every salt; where it meets no step it ends as it is, which changes no minimum.
+        step = spread_out(rows.withColumn("_key", own), hot, "_key").join(ends, ["_key", "_salt"], "left")
         hit, lost, back = F.col("dep").isNotNull(), F.col("lost") + F.col("pen"), F.array_contains("path", F.col("dep"))
         worth = F.when(back, F.lit(1.0)).when(F.col("settled"), F.col("r")).otherwise(F.col("self_score")) - lost
         on = hit & ~back & ~F.col("settled") & (lost < 1.0 - 1e-9)
