@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import key
-from corvane.operators.skew import salted_join
+from corvane.operators.skew import hot_keys, salted, salted_join, spread_out
 from corvane.session import partitions, staged
 from corvane.sources.tables import table
 
@@ -178,10 +178,12 @@ def similar(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     crowd = out.filter(F.col("b").isNull()).select("key", F.col("a").alias("class"))
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_crowded(crowd, classes, threshold))
-    pairs = pairs.distinct()
-    left = classes.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
-    right = classes.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    pairs = staged(pairs.distinct(), "pairs")
+    hot_a, hot_b = hot_keys(pairs, "a"), hot_keys(pairs, "b")  # a text with a great many partners
+    left = spread_out(classes.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), hot_a, "a")
+    right = spread_out(classes.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), hot_b, "b")
+    joined = salted(pairs, hot_a, "a", ["b"]).join(left, ["a", "_salt"]).drop("_salt")
+    joined = salted(joined, hot_b, "b", ["a"]).join(right, ["b", "_salt"]).drop("_salt")
     common = F.size(F.array_intersect("ta", "tb"))
     joined = joined.select("a", "b", common.alias("_both"), (F.size("ta") + F.size("tb")).alias("_sum"))
     # Compared as integers times the threshold's decimal, so that a similarity of exactly the threshold counts.
@@ -217,10 +219,10 @@ def id_pairs(members: DataFrame, classes: DataFrame, alike: DataFrame) -> DataFr
     """
     several = classes.filter((F.col("n") > 1) & (F.size("tokens") > 0)).select("class", F.col("class").alias("other"))
     both = alike.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(several)
-    counts = classes.select("class", "n")
-    weighted = staged(both.join(counts, "class"), "linked")
-    first = weighted.join(members.withColumnRenamed("id", "x"), "class").select("x", F.col("class").alias("from"), F.col("other").alias("class"))
-    full = first.join(members.withColumnRenamed("id", "y"), "class")
+    hot = hot_keys(members, "class")
+    placed = salted(members, hot, "class", ["id"])
+    first = spread_out(both, hot, "class").join(placed.withColumnRenamed("id", "x"), ["class", "_salt"]).select("x", F.col("class").alias("from"), F.col("other").alias("class"))
+    full = spread_out(first, hot, "class").join(placed.withColumnRenamed("id", "y"), ["class", "_salt"])
     return full.filter((F.col("from") != F.col("class")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -232,9 +234,11 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     two = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     degree = two.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    hot = hot_keys(two, "b")
+    two = staged(salted(two, hot, "b", ["a"]), "links")
     label = staged(degree.select("node", F.col("node").alias("group")), "labels")
     while True:
-        near = two.join(label.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("low"))
+        near = two.join(spread_out(label.select(F.col("node").alias("b"), "group"), hot, "b"), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("group").alias("low"))
         hooked = staged(label.join(near, "node").select("node", "group", F.least("group", "low").alias("new")), "hook")
         # A group's root moves to the least label any of its members saw, then everyone follows the root.
         roots = hooked.groupBy(F.col("group").alias("root")).agg(F.min("new").alias("to"), F.count("*").alias("_w"))

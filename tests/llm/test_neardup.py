@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import neardup
+from corvane.operators import skew
 from corvane.session import staged
 
 HOLON = "id string, title string, content string, updated_at timestamp_ntz, class int, n int, tokens string"
@@ -49,7 +50,9 @@ def test_exactly_at_the_threshold(spark):
     assert found(spark, texts) == {("a", "b")}
 
 
-def test_many_copies(spark):
+@pytest.mark.parametrize("least", [50_000, 5])
+def test_many_copies(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "MIN_ROWS", least)
     texts = {f"c{i:02}": "one two three" for i in range(80)} | {"z": "one two three four"}
     got = found(spark, texts)
     assert len(got) == 80 * 79 // 2 + 80
@@ -72,7 +75,8 @@ def test_streamed_pairs_across_batches():
     assert pairs == {(int(a), int(b)) for k in size if size[k] <= neardup.BUCKET for a in cls[keys == k] for b in cls[keys == k] if a < b}
 
 
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 1)
     nodes = spark.createDataFrame([(i,) for i in range(30)], "node long")
     links = staged(spark.createDataFrame([(i, i + 1) for i in range(0, 12)] + [(20, 21)], "a long, b long"))
     got = {r.node: (r.group, r.n_links) for r in neardup.labelled(nodes, links).collect()}
