@@ -48,7 +48,8 @@ def rows(up):
 
 
 @pytest.mark.parametrize(("seed", "loops"), [(1, True), (2, False), (3, True)])
-def test_many_blocks(spark, seed, loops):
+def test_many_blocks(spark, monkeypatch, seed, loops):
+    monkeypatch.setattr(skew, "MIN_ROWS", 2)
     up = random_parents(random.Random(seed), 60, loops)
     links = hierarchy.parent_links(spark.createDataFrame(rows(up), HOLON))
     got = {r.id: (r.root_id, r.depth) for r in hierarchy.forest(links, 9).collect()}
@@ -141,7 +142,8 @@ def by_paths(own, deps, x, way=()):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_reliability_of_random_graphs(spark, seed):
+def test_reliability_of_random_graphs(spark, monkeypatch, seed):
+    monkeypatch.setattr(skew, "MIN_ROWS", 2)
     rng = random.Random(seed)
     ids = [f"n{i}" for i in range(24)]
     proofs = [(x, rng.choice(["pass", "degrade", "pass"]), GOOD) for x in ids]
@@ -166,7 +168,8 @@ def test_report_and_tree(spark):
     assert lines == ["[A R:0.40] t", "  --(CL:2)-->\n  [B R:0.50] t", "  [members]", "    - [M R:0.00] M"]
 
 
-def test_reachable_and_cycles(spark):
+def test_reachable_and_cycles(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 1)
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("c", "a")], "node string, to string")
     seeds = spark.createDataFrame([("a",), ("f",), (None,)], "seed string")
     got = {}
