@@ -229,7 +229,7 @@ def used(mix: Mix) -> DataFrame:
     """Blocks joined by index: doc_id, source, n_tokens, repeats (the most often any part of the document is used), and
     used_tokens, for the documents chosen."""
     times = mix.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    joined = mix.pieces.join(times, ["source", "block"])
+    joined = mix.pieces.join(times.hint("merge"), ["source", "block"])  # either side grows with the data
     return joined.groupBy("doc_id", "source").agg(F.first("n_tokens").alias("n_tokens"), F.max("times").alias("repeats"), F.sum(F.col("times") * F.col("piece_tokens")).alias("used_tokens"))
 
 
@@ -244,7 +244,7 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: the pieces of documents at each place of each output shard."""
     mix = _mixed(spark, sf_dir)
-    return mix.slots.join(mix.pieces.drop("n_tokens"), ["source", "block"]).select("shard", "place", "source", "block", "doc_id", "from_token", "piece_tokens")
+    return mix.slots.join(mix.pieces.drop("n_tokens").hint("merge"), ["source", "block"]).select("shard", "place", "source", "block", "doc_id", "from_token", "piece_tokens")
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
