@@ -12,7 +12,7 @@ from corvane.session import staged
 
 
 #: Steps along links in one job.
-HOPS = 3
+HOPS = 5
 
 
 def edges(relations: DataFrame) -> DataFrame:
