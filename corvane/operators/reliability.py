@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.scalars import penalty, verdict_score
+from corvane.operators.graph import reachable
 from corvane.operators.model import AS_OF, Base, as_of, sql
 from corvane.operators.skew import hot_keys, salted, spread_out
 from corvane.operators.store import q, updated
@@ -150,22 +151,62 @@ def report_text(rows: DataFrame) -> DataFrame:
 
 
 def audit_tree(root: str, holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
-    """position, line: the tree below root in depth-first order. Each node with its r and title, members after components.
+    """line: the tree below root in depth-first order, as audit_trees() has it."""
+    one = holons.sparkSession.createDataFrame([(root,)], "root_id string")
+    parts = _parts(relations)
+    return _lines(_walked(one, parts, depth), holons, relations, scores).orderBy("path", "kind", "who").select("line")
 
+
+def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
+    """root_id, position (from 1), line: every tree in depth-first order. Each node with its r and title, members after components.
+
+    Roots are the holons, and the unknown ids with parts or members, that are no part of another; of a cycle, or several
+    that share nodes, that hangs on none of these the smallest id is one. So every holon is in a tree; the tree of an id that
+    is no root is part of its root's, audit_tree() shows it alone.
     Follows componentOf from the whole to its parts, level by level; a missing level of congruence shows as 3. A part
     that is its own ancestor is shown and not followed. Ordered by the array of ids on the way, as components come by id.
     """
-    about = staged(scores.select("id", "r").join(holons.select("id", F.nullif(F.col("title"), F.lit("")).alias("title")), "id", "left"), "about")
-    parts = staged(relations.filter("relation_type = 'componentOf'").select(F.col("target_id").alias("node"), F.col("source_id").alias("part"), F.coalesce("congruence_level", F.lit(3)).alias("level")), "parts")
-    spark = holons.sparkSession
-    front = spark.createDataFrame([(root, [root], 0, 3)], "node string, path array<string>, at int, level int")
+    parts = _parts(relations)
+    links = parts.filter("node <> part").select("node", F.col("part").alias("to"))
+    wholes = relations.filter(F.col("relation_type").isin("componentOf", "memberOf")).select(F.col("target_id").alias("id"))
+    free = holons.select("id").unionByName(wholes).distinct().join(links.select(F.col("to").alias("id")), "id", "left_anti")
+    nodes = _walked(free.select(F.col("id").alias("root_id")), parts, depth)
+    rest = staged(links.join(nodes.select("node"), "node", "left_anti"), "rest")
+    if not rest.isEmpty():
+        nodes = nodes.unionByName(_walked(_heads(rest), parts, depth))
+    # A task numbers whole trees: it sorts them, with spilling, and holds none.
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy("path", "kind", "who"))
+    return _lines(nodes, holons, relations, scores).withColumn("root_id", F.col("path")[0]).select("root_id", place.alias("position"), "line")
+
+
+def _parts(relations: DataFrame) -> DataFrame:
+    return staged(relations.filter("relation_type = 'componentOf'").select(F.col("target_id").alias("node"), F.col("source_id").alias("part"), F.coalesce("congruence_level", F.lit(3)).alias("level")), "parts")
+
+
+def _heads(links: DataFrame) -> DataFrame:
+    """root_id: the smallest id of each cyclic part of links (node, to) that nothing outside it leads to."""
+    seeds = links.select(F.col("node").alias("seed")).distinct()
+    pairs = staged(reachable(seeds, links).filter("seed <> node"), "pairs")
+    back = pairs.select(F.col("seed").alias("node"), F.col("node").alias("seed"), F.lit(True).alias("_back"))
+    below = pairs.join(back, ["seed", "node"], "left").filter(F.col("_back").isNull() | (F.col("seed") < F.col("node")))
+    return seeds.join(below.select(F.col("node").alias("seed")), "seed", "left_anti").select(F.col("seed").alias("root_id"))
+
+
+def _walked(roots: DataFrame, parts: DataFrame, depth: int) -> DataFrame:
+    """node, path, at, level for every way down from the roots (root_id)."""
+    front = staged(roots.select(F.col("root_id").alias("node"), F.array("root_id").alias("path"), F.lit(0).alias("at"), F.lit(3).alias("level")), "tree")
     seen = [front]
     for _ in range(depth):
         front = staged(front.filter(F.size(F.array_distinct("path")) == F.size("path")).select("node", "path", "at").join(parts, "node").select(F.col("part").alias("node"), F.concat("path", F.array("part")).alias("path"), (F.col("at") + 1).alias("at"), "level"), "tree")
         if front.isEmpty():
             break
         seen.append(front)
-    nodes = reduce(DataFrame.unionByName, seen)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _lines(nodes: DataFrame, holons: DataFrame, relations: DataFrame, scores: DataFrame) -> DataFrame:
+    """path, kind, who, by which the lines are ordered, and line."""
+    about = staged(scores.select("id", "r").join(holons.select("id", F.nullif(F.col("title"), F.lit("")).alias("title")), "id", "left"), "about")
     shown = nodes.join(about.withColumnRenamed("id", "node"), "node", "left")
     head = F.format_string("[%s R:%.2f] %s", F.col("node"), F.coalesce("r", F.lit(0.0)), F.coalesce("title", "node"))
     indent = F.expr("repeat('  ', at)")
@@ -177,7 +218,7 @@ def audit_tree(root: str, holons: DataFrame, relations: DataFrame, scores: DataF
     # Members come after all components of the node: the path is closed by a sign that sorts behind every id.
     listed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(2).alias("kind"), F.col("member").alias("who"), F.concat(indent, note).alias("line"))
     headed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(1).alias("kind"), F.lit("").alias("who"), F.concat(indent, F.lit("  [members]")).alias("line")).distinct()
-    return lines.unionByName(headed).unionByName(listed).orderBy("path", "kind", "who").select("line")
+    return lines.unionByName(headed).unionByName(listed)
 
 
 def _scores(b: Base) -> DataFrame:
@@ -188,14 +229,6 @@ def _reports(b: Base) -> DataFrame:
     return reports(b.holons, b.evidence, b.relations, as_of())
 
 
-def _largest_tree(b: Base) -> DataFrame:
-    """The audit tree of the holon with most components."""
-    parts = b.relations.filter("relation_type = 'componentOf'").groupBy("target_id").agg(F.count("*").alias("n"))
-    first = parts.join(b.holons.select(F.col("id").alias("target_id")), "target_id").orderBy(F.col("n").desc(), "target_id").first()
-    root = first[0] if first else "all"
-    return audit_tree(root, b.holons, b.relations, _scores(b))
-
-
 QUERIES = {
     "self_score": q(lambda b: self_scores(b.evidence, as_of()).select("holon_id", F.round("self_score", 6).alias("self_score"), "n_evidence")),
     "decay_penalty": q(lambda b: self_scores(b.evidence, as_of()).select("holon_id", "n_expired", F.round("decay_penalty", 6).alias("decay_penalty"))),
@@ -205,7 +238,7 @@ QUERIES = {
     "weakest_links": q(lambda b: _reports(b).select("id", "r", "weakest_link")),
     "reliability_l2_comparison": q(lambda b: _reports(b).filter("layer = 'L2'").select("id", "title", "r", "weakest_link")),
     "rscore_writeback": q(lambda b: updated(b.holons.select("id", "cached_r_score", "updated_at"), _scores(b).select("id", F.round("r", 6).alias("cached_r_score")), "cached_r_score")),
-    "audit_tree": q(_largest_tree),
+    "audit_tree": q(lambda b: audit_trees(b.holons, b.relations, _scores(b))),
 }
 
 _R = f"""

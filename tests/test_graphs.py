@@ -168,6 +168,16 @@ def test_report_and_tree(spark):
     assert lines == ["[A R:0.40] t", "  --(CL:2)-->\n  [B R:0.50] t", "  [members]", "    - [M R:0.00] M"]
 
 
+def test_every_tree(spark):
+    part = [("b", "a"), ("c", "b"), ("c", "ghost"), ("y", "x"), ("x", "y"), ("w", "y"), ("z", "w"), ("w", "z"), ("s", "s")]
+    args = scores(spark, [(x, "pass", GOOD) for x in "abcsxyzw"], [*((s, t, PART, 3) for s, t in part), ("a", "club", "memberOf", 3)])
+    trees = {}
+    for x in sorted(reliability.audit_trees(args[0], args[2], reliability.reliability(*args)).collect(), key=lambda x: (x.root_id, x.position)):
+        trees.setdefault(x.root_id, []).append((x.position, x.line.split("[")[1].split("]")[0].split(" ")[0]))
+    want = {"A": "A", "a": "abc", "ghost": ["ghost", "c"], "club": ["club", "members", "a"], "s": "ss", "x": "xywzwx"}
+    assert trees == {k: list(enumerate(v, 1)) for k, v in want.items()}
+
+
 def test_reachable_and_cycles(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("c", "a")], "node string, to string")
