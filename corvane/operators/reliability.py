@@ -150,15 +150,28 @@ def report_text(rows: DataFrame) -> DataFrame:
     return rows.select("id", text.alias("report"))
 
 
+def tree_scores(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
+    """id, r, factors of reports() for every id that audit_tree() can show: known or not, with a level or without."""
+    known = staged(reliability(holons, evidence, relations, at), "known")
+    ends = relations.filter(F.col("relation_type").isin("componentOf", "memberOf")).select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    own = self_scores(evidence, at).select(F.col("holon_id").alias("id"), "self_score")
+    # What reliability() leaves out rests on nothing.
+    others = ends.join(known, "id", "left_anti").join(own, "id", "left").select("id", F.coalesce("self_score", F.lit(0.0)).alias("self_score"))
+    scores = staged(known.unionByName(others.withColumn("r", F.col("self_score"))), "scored")
+    named = scores.select("id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("layer"))
+    return scores.select("id", "r").join(reports(named, evidence, relations, at, scores).select("id", "factors"), "id")
+
+
 def audit_tree(root: str, holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
-    """line: the tree below root in depth-first order, as audit_trees() has it."""
+    """line: the tree below root in depth-first order, as audit_trees() has it. Factors are shown if scores have them, as tree_scores() do."""
     one = holons.sparkSession.createDataFrame([(root,)], "root_id string")
     parts = _parts(relations)
-    return _lines(_walked(one, parts, depth), holons, relations, scores).orderBy("path", "kind", "who").select("line")
+    return _lines(_walked(one, parts, depth), holons, relations, scores).orderBy("path", "kind", "nth", "who").select("line")
 
 
 def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
-    """root_id, position (from 1), line: every tree in depth-first order. Each node with its r and title, members after components.
+    """root_id, position (from 1), line: every tree in depth-first order. Each node with its r and title, then its factors, components
+    and members; scores as of tree_scores().
 
     Roots are the holons, and the unknown ids with parts or members, that are no part of another; of a cycle, or several
     that share nodes, that hangs on none of these the smallest id is one. So every holon is in a tree; the tree of an id that
@@ -175,7 +188,7 @@ def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame, dept
     if not rest.isEmpty():
         nodes = nodes.unionByName(_walked(_heads(rest), parts, depth))
     # A task numbers whole trees: it sorts them, with spilling, and holds none.
-    place = F.row_number().over(Window.partitionBy("root_id").orderBy("path", "kind", "who"))
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy("path", "kind", "nth", "who"))
     return _lines(nodes, holons, relations, scores).withColumn("root_id", F.col("path")[0]).select("root_id", place.alias("position"), "line")
 
 
@@ -205,20 +218,22 @@ def _walked(roots: DataFrame, parts: DataFrame, depth: int) -> DataFrame:
 
 
 def _lines(nodes: DataFrame, holons: DataFrame, relations: DataFrame, scores: DataFrame) -> DataFrame:
-    """path, kind, who, by which the lines are ordered, and line."""
-    about = staged(scores.select("id", "r").join(holons.select("id", F.nullif(F.col("title"), F.lit("")).alias("title")), "id", "left"), "about")
+    """path, kind, nth, who, by which the lines are ordered, and line."""
+    factors = F.col("factors") if "factors" in scores.columns else F.array().cast("array<string>")
+    about = staged(scores.select("id", "r", factors.alias("factors")).join(holons.select("id", F.nullif(F.col("title"), F.lit("")).alias("title")), "id", "left"), "about")
     shown = nodes.join(about.withColumnRenamed("id", "node"), "node", "left")
     head = F.format_string("[%s R:%.2f] %s", F.col("node"), F.coalesce("r", F.lit(0.0)), F.coalesce("title", "node"))
     indent = F.expr("repeat('  ', at)")
     arrow = F.when(F.col("at") > 0, F.concat(F.expr("repeat('  ', at - 1)"), F.lit("  --(CL:"), F.col("level").cast("string"), F.lit(")-->\n"))).otherwise("")
-    lines = shown.select("path", F.lit(0).alias("kind"), F.lit("").alias("who"), F.concat(arrow, indent, head).alias("line"))
+    lines = shown.select("path", F.lit(0).alias("kind"), F.lit(0).alias("nth"), F.lit("").alias("who"), F.concat(arrow, indent, head).alias("line"))
+    noted = shown.select("path", "at", F.posexplode("factors").alias("nth", "factor")).select("path", F.lit(1).alias("kind"), "nth", F.lit("").alias("who"), F.concat(indent, F.lit("  ! "), F.col("factor")).alias("line"))
     members = relations.filter("relation_type = 'memberOf'").select(F.col("target_id").alias("node"), F.col("source_id").alias("member"))
     inside = nodes.join(members, "node").join(about.withColumnRenamed("id", "member"), "member", "left")
     note = F.format_string("    - [%s R:%.2f] %s", F.col("member"), F.coalesce("r", F.lit(0.0)), F.coalesce("title", "member"))
     # Members come after all components of the node: the path is closed by a sign that sorts behind every id.
-    listed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(2).alias("kind"), F.col("member").alias("who"), F.concat(indent, note).alias("line"))
-    headed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(1).alias("kind"), F.lit("").alias("who"), F.concat(indent, F.lit("  [members]")).alias("line")).distinct()
-    return lines.unionByName(headed).unionByName(listed)
+    listed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(3).alias("kind"), F.lit(0).alias("nth"), F.col("member").alias("who"), F.concat(indent, note).alias("line"))
+    headed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(2).alias("kind"), F.lit(0).alias("nth"), F.lit("").alias("who"), F.concat(indent, F.lit("  [members]")).alias("line")).distinct()
+    return lines.unionByName(noted).unionByName(headed).unionByName(listed)
 
 
 def _scores(b: Base) -> DataFrame:
@@ -238,7 +253,7 @@ QUERIES = {
     "weakest_links": q(lambda b: _reports(b).select("id", "r", "weakest_link")),
     "reliability_l2_comparison": q(lambda b: _reports(b).filter("layer = 'L2'").select("id", "title", "r", "weakest_link")),
     "rscore_writeback": q(lambda b: updated(b.holons.select("id", "cached_r_score", "updated_at"), _scores(b).select("id", F.round("r", 6).alias("cached_r_score")), "cached_r_score")),
-    "audit_tree": q(lambda b: audit_trees(b.holons, b.relations, _scores(b))),
+    "audit_tree": q(lambda b: audit_trees(b.holons, b.relations, tree_scores(b.holons, b.evidence, b.relations, as_of()))),
 }
 
 _R = f"""

@@ -178,6 +178,16 @@ def test_every_tree(spark):
     assert trees == {k: list(enumerate(v, 1)) for k, v in want.items()}
 
 
+def test_tree_with_factors(spark):
+    args = scores(spark, [("A", "pass", OLD), ("A", "pass", OLD), ("B", "pass", GOOD), ("u", "pass", GOOD)], [("B", "A", PART, 2), ("g", "A", PART, None), ("u", "A", "memberOf", 3)])
+    holons = args[0].filter("id <> 'u'")
+    found = reliability.tree_scores(holons, *args[1:])
+    assert [x.line for x in reliability.audit_tree("A", holons, args[2], found).collect()] == [
+        "[A R:0.10] t", "  ! Evidence expired (Decay applied)", "  ! Evidence expired (Decay applied)", "  ! CL Penalty applied for B",
+        "  --(CL:2)-->\n  [B R:1.00] t", "  --(CL:3)-->\n  [g R:0.00] g", "    ! No evidence found (L0)", "  [members]", "    - [u R:1.00] u",
+    ]
+
+
 def test_reachable_and_cycles(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("c", "a")], "node string, to string")
