@@ -162,14 +162,14 @@ def tree_scores(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at
     return scores.select("id", "r").join(reports(named, evidence, relations, at, scores).select("id", "factors"), "id")
 
 
-def audit_tree(root: str, holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
+def audit_tree(root: str, holons: DataFrame, relations: DataFrame, scores: DataFrame) -> DataFrame:
     """line: the tree below root in depth-first order, as audit_trees() has it. Factors are shown if scores have them, as tree_scores() do."""
     one = holons.sparkSession.createDataFrame([(root,)], "root_id string")
     parts = _parts(relations)
-    return _lines(_walked(one, parts, depth), holons, relations, scores).orderBy("path", "kind", "nth", "who").select("line")
+    return _lines(_walked(one, parts), holons, relations, scores).orderBy("path", "kind", "nth", "who").select("line")
 
 
-def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame, depth: int = 32) -> DataFrame:
+def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame) -> DataFrame:
     """root_id, position (from 1), line: every tree in depth-first order. Each node with its r and title, then its factors, components
     and members; scores as of tree_scores().
 
@@ -183,10 +183,10 @@ def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame, dept
     links = parts.filter("node <> part").select("node", F.col("part").alias("to"))
     wholes = relations.filter(F.col("relation_type").isin("componentOf", "memberOf")).select(F.col("target_id").alias("id"))
     free = holons.select("id").unionByName(wholes).distinct().join(links.select(F.col("to").alias("id")), "id", "left_anti")
-    nodes = _walked(free.select(F.col("id").alias("root_id")), parts, depth)
+    nodes = _walked(free.select(F.col("id").alias("root_id")), parts)
     rest = staged(links.join(nodes.select("node"), "node", "left_anti"), "rest")
     if not rest.isEmpty():
-        nodes = nodes.unionByName(_walked(_heads(rest), parts, depth))
+        nodes = nodes.unionByName(_walked(_heads(rest), parts))
     # A task numbers whole trees: it sorts them, with spilling, and holds none.
     place = F.row_number().over(Window.partitionBy("root_id").orderBy("path", "kind", "nth", "who"))
     return _lines(nodes, holons, relations, scores).withColumn("root_id", F.col("path")[0]).select("root_id", place.alias("position"), "line")
@@ -205,14 +205,12 @@ def _heads(links: DataFrame) -> DataFrame:
     return seeds.join(below.select(F.col("node").alias("seed")), "seed", "left_anti").select(F.col("seed").alias("root_id"))
 
 
-def _walked(roots: DataFrame, parts: DataFrame, depth: int) -> DataFrame:
-    """node, path, at, level for every way down from the roots (root_id)."""
+def _walked(roots: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, path, at, level for every way down from the roots (root_id), however deep."""
     front = staged(roots.select(F.col("root_id").alias("node"), F.array("root_id").alias("path"), F.lit(0).alias("at"), F.lit(3).alias("level")), "tree")
     seen = [front]
-    for _ in range(depth):
+    while not front.isEmpty():
         front = staged(front.filter(F.size(F.array_distinct("path")) == F.size("path")).select("node", "path", "at").join(parts, "node").select(F.col("part").alias("node"), F.concat("path", F.array("part")).alias("path"), (F.col("at") + 1).alias("at"), "level"), "tree")
-        if front.isEmpty():
-            break
         seen.append(front)
     return reduce(DataFrame.unionByName, seen)
 

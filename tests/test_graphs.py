@@ -188,6 +188,13 @@ def test_tree_with_factors(spark):
     ]
 
 
+def test_tree_deeper_than_32(spark):
+    _, _, rel, _ = scores(spark, [], [(f"n{i + 1}", f"n{i}", PART, 3) for i in range(36)])
+    holons = spark.createDataFrame([("n0", "t")], "id string, title string")
+    found = spark.createDataFrame([("n36", 1.0)], "id string, r double")
+    assert reliability.audit_tree("n0", holons, rel, found).collect()[36].line.endswith("[n36 R:1.00] n36")
+
+
 def test_reachable_and_cycles(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("c", "a")], "node string, to string")
