@@ -108,6 +108,12 @@ def _ranked(df: DataFrame, per: str, newest: str) -> DataFrame:
     return running_total(keyed, per, ["_age", "id"], "_one").select(*df.columns, (F.col("_before") + 1).cast("int").alias("place"))
 
 
+def _by_context(audit: DataFrame) -> DataFrame:
+    """Every audit row with its place in its context, newest first; rows without an instant are the oldest. A null context is none."""
+    rows = audit.filter("context_id IS NOT NULL").withColumn("_at", F.coalesce(F.col("timestamp").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")))
+    return _ranked(rows, "context_id", "_at").drop("_at")
+
+
 def _upsert_rows(b: Base) -> DataFrame:
     """New levels for every relation that verifies something, and a new relation for every waiver."""
     known = b.relations.filter(F.col("relation_type") == "verifiedBy").select("source_id", "target_id", "relation_type", F.lit(1).alias("congruence_level"), as_of().alias("created_at"))
@@ -134,15 +140,18 @@ QUERIES = {
     "evidence_by_id": q(lambda b: b.evidence),
     "valid_until_parsed": q(lambda b: b.evidence.select("id", S.parse_instant(F.when(F.length("id") % 3 == 0, F.date_format("valid_until", "yyyy-MM-dd")).when(F.length("id") % 3 == 1, F.lit("soon")).otherwise(F.date_format("valid_until", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).cast("timestamp_ntz").alias("valid_until"))),
     "relations_by_target": q(lambda b: b.relations.groupBy("target_id", "relation_type").agg(F.count("*").alias("n"), F.min("source_id").alias("first_source"))),
+    "relation_rows_by_target": q(lambda b: b.relations.select("target_id", "relation_type", "source_id", "congruence_level", "created_at")),
     "components_of": q(lambda b: b.relations.filter("relation_type = 'componentOf'").select("target_id", "source_id", "congruence_level")),
     "dependencies": q(lambda b: b.relations.filter(F.col("relation_type").isin(*WHOLES)).select("source_id", "target_id", "congruence_level")),
     "dependents": q(lambda b: b.relations.filter(F.col("relation_type").isin(*WHOLES)).groupBy("target_id").agg(F.count("*").alias("n_dependents"))),
+    "dependent_rows": q(lambda b: b.relations.filter(F.col("relation_type").isin(*WHOLES)).select("target_id", "source_id", "relation_type", "congruence_level")),
     "collection_members": q(lambda b: b.relations.filter("relation_type = 'memberOf'").select("target_id", "source_id")),
     "relation_upsert": q(lambda b: upserted(b.relations, _upsert_rows(b), ["source_id", "target_id", "relation_type"], ["congruence_level"])),
     "relation_duplicates": q(lambda b: b.raw("relations").groupBy(S.key(F.col("source_id")).alias("source_id"), S.key(F.col("target_id")).alias("target_id"), "relation_type").agg(F.count("*").alias("n")).filter("n > 1")),
     "work_durations": q(lambda b: model.work_records(b.raw("orders")).select("id", "performer_ref", F.get_json_object("resource_ledger", "$.duration_ms").cast("long").alias("duration_ms"), S.days_between(F.col("ended_at"), F.col("started_at")).alias("days"))),
     "characteristics_by_holon": q(lambda b: model.characteristics(b.raw("part"))),
     "audit_by_context": q(lambda b: b.audit.groupBy("context_id").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_at"), F.max_by("id", F.struct("timestamp", "id")).alias("last_id"))),
+    "audit_rows_by_context": q(lambda b: _by_context(b.audit)),
     "audit_by_target": q(lambda b: b.audit.filter("target_id IS NOT NULL AND target_id <> ''").select("target_id", "id", "timestamp", "result")),
     "recent_audit_topk": q(lambda b: recent(b.audit.select("id", "timestamp", "actor", "result"), 50)),
     "active_waiver_per_evidence": q(lambda b: latest(b.waivers.filter(F.col("waived_until") > as_of()).select("evidence_id", "id", "waived_until", "waived_by"), "evidence_id", "waived_until")),
@@ -168,9 +177,11 @@ SQL = {
     "evidence_by_id": sql("SELECT * FROM e"),
     "valid_until_parsed": sql("SELECT id, CASE length(id) % 3 WHEN 0 THEN date_trunc('day', valid_until) WHEN 1 THEN NULL ELSE date_trunc('second', valid_until) END AS valid_until FROM e"),
     "relations_by_target": sql("SELECT target_id, relation_type, count(*) AS n, min(source_id) AS first_source FROM r GROUP BY ALL"),
+    "relation_rows_by_target": sql("SELECT target_id, relation_type, source_id, congruence_level, created_at FROM r"),
     "components_of": sql("SELECT target_id, source_id, congruence_level FROM r WHERE relation_type = 'componentOf'"),
     "dependencies": sql("SELECT source_id, target_id, congruence_level FROM r WHERE relation_type IN ('componentOf', 'constituentOf')"),
     "dependents": sql("SELECT target_id, count(*) AS n_dependents FROM r WHERE relation_type IN ('componentOf', 'constituentOf') GROUP BY 1"),
+    "dependent_rows": sql("SELECT target_id, source_id, relation_type, congruence_level FROM r WHERE relation_type IN ('componentOf', 'constituentOf')"),
     "collection_members": sql("SELECT target_id, source_id FROM r WHERE relation_type = 'memberOf'"),
     "relation_upsert": sql(f"""SELECT source_id, target_id, relation_type, created_at, CASE WHEN relation_type = 'verifiedBy' THEN 1 ELSE congruence_level END AS congruence_level FROM r
         UNION ALL SELECT evidence_id, min(id), 'waivedBy', TIMESTAMP '{AS_OF}', 3 FROM w GROUP BY evidence_id"""),
@@ -179,6 +190,7 @@ SQL = {
     "characteristics_by_holon": """SELECT 'p' || p_partkey AS holon_id, 'size' AS name, 'ratio' AS scale, CAST(p_size AS VARCHAR) AS value, 'cm' AS unit FROM part
         UNION ALL SELECT 'p' || p_partkey, 'brand', 'nominal', p_brand, NULL FROM part""",
     "audit_by_context": sql('SELECT context_id, count(*) AS n, max("timestamp") AS last_at, arg_max(id, ("timestamp", id)) AS last_id FROM a GROUP BY 1'),
+    "audit_rows_by_context": sql('SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY "timestamp" DESC NULLS LAST, id)::INT AS place FROM a WHERE context_id IS NOT NULL'),
     "audit_by_target": sql("""SELECT target_id, id, "timestamp", result FROM a WHERE target_id IS NOT NULL AND target_id <> ''"""),
     "recent_audit_topk": sql('SELECT id, "timestamp", actor, result FROM a ORDER BY "timestamp" DESC NULLS LAST, id LIMIT 50'),
     "active_waiver_per_evidence": sql(f"SELECT evidence_id, id, waived_until, waived_by FROM w WHERE waived_until > TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY waived_until DESC, id) = 1"),

@@ -1,5 +1,6 @@
 from conftest import day
 
+import __spark_entry__
 from corvane.operators import freshness, history, model, references, sequence
 from pyspark.sql import functions as F
 
@@ -96,3 +97,11 @@ def test_stream(spark, folder):
     assert audit.drained(spark, path).agg(F.sum("n_events")).first()[0] == spark.read.parquet(path).count()
     live = audit.daily_activity(audit.audit_stream(spark, path))
     assert live.isStreaming and live.columns == ["day", "result", "n_events"]
+
+
+def test_listings_have_every_row(spark, folder):
+    queries = __spark_entry__.queries()
+    for rows, counts, n in [("audit_rows_by_context", "audit_by_context", "n"), ("relation_rows_by_target", "relations_by_target", "n"), ("dependent_rows", "dependents", "n_dependents")]:
+        assert queries[rows](spark, folder).count() == queries[counts](spark, folder).agg({n: "sum"}).first()[0]
+    got = queries["audit_rows_by_context"](spark, folder).filter("context_id = 'default'").orderBy("place").collect()
+    assert [x.place for x in got] == list(range(1, len(got) + 1)) and got == sorted(got, key=lambda x: (-x.timestamp.timestamp(), x.id))
