@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import key
-from corvane.operators.sequence import boundaries, opening, spans
-from corvane.session import staged
+from corvane.operators.sequence import Differs, stretches, unequal
 from corvane.sources.tables import table
 
 
@@ -42,63 +43,67 @@ def states(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def changes(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The states that change something, in order, with a flag per satellite: new_layer, new_cached_r_score. Staged.
-
-    A satellite row is appended only where the hash of its attributes differs from that of the state just before. The
-    states are range-partitioned by (id, updated_at), so an id with a third of all states is split like any other.
-    """
-    hashed = states(holons, snapshots)
+def _hashed(rows: DataFrame) -> DataFrame:
     for c in SATELLITES:
-        hashed = hashed.withColumn(f"hash_{c}", F.xxhash64(c))
-    hashes = [f"hash_{c}" for c in SATELLITES]
+        rows = rows.withColumn(f"hash_{c}", F.xxhash64(c))
+    return rows
 
-    def new(prev: Column, c: str) -> Column:
-        return prev.isNull() | (prev["id"] != F.col("id")) | (prev[f"hash_{c}"] != F.col(f"hash_{c}"))
 
-    rows = opening(boundaries(hashed, ["id", "updated_at"], ["id", *hashes], lambda prev: reduce(Column.__or__, [new(prev, c) for c in SATELLITES])))
-    for c in SATELLITES:
-        rows = rows.withColumn(f"new_{c}", new(F.col("_prev"), c))
-    return rows
+def _new(attributes: list[str]) -> Differs:
+    """A row appended to a satellite of these attributes: another id, or another hash of one of them."""
+
+    def differs(before: pa.Table, here: pa.Table) -> np.ndarray:
+        return reduce(np.logical_or, [unequal(before.column(c), here.column(c)) for c in ("id", *[f"hash_{a}" for a in attributes])])
 
+    return differs
 
-def ended(starts: DataFrame) -> DataFrame:
-    """Lead-based view: valid_from, valid_to (null while current) and is_current of insert-only rows."""
-    led = spans(starts, {"id": F.col("id"), "at": F.col("updated_at")})
-    to = F.when(F.col("_next.id") == F.col("id"), F.col("_next.at"))
+
+def _appended(rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """The rows of hashed states that a satellite of these attributes gets, with valid_from, valid_to (null while current) and
+    is_current by lead over them.
+
+    The states are range-partitioned by (id, updated_at), so an id with a third of all states is split like any other.
+    """
+    hashes = [f"hash_{c}" for c in attributes]
+    led = stretches(rows, ["id", "updated_at"], ["id", "updated_at", *hashes], _new(attributes), next_=("id", "updated_at"))
+    to = F.when(F.col("_next.id") == F.col("id"), F.col("_next.updated_at"))
     return led.withColumnRenamed("updated_at", "valid_from").withColumn("valid_to", to).withColumn("is_current", to.isNull())
 
 
 def satellite(rows: DataFrame, attribute: str) -> DataFrame:
-    """The satellite of one attribute: id, value as text, hash_diff, valid_from, valid_to, is_current."""
-    starts = rows.filter(F.col(f"new_{attribute}"))
-    return ended(starts).select(
+    """The satellite of one attribute: id, value as text, hash_diff, valid_from, valid_to, is_current. rows: of changes()."""
+    return _appended(rows, [attribute]).select(
         "id", F.lit(attribute).alias("attribute"), F.col(attribute).cast("string").alias("value"),
         F.hex(F.col(f"hash_{attribute}")).alias("hash_diff"), "valid_from", "valid_to", "is_current",
     )
 
 
-def versions(rows: DataFrame) -> DataFrame:
-    """The versions of all attributes together: a version starts where any satellite gets a row."""
-    any_new = F.col("new_layer") | F.col("new_cached_r_score")
-    return ended(rows.filter(any_new)).select("id", "layer", "cached_r_score", "valid_from", "valid_to", "is_current")
+def versions(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The versions of all attributes together: a version starts where any satellite gets a row, that is where the hash of
+    its attribute differs from that of the state just before."""
+    return _appended(_hashed(states(holons, snapshots)), list(SATELLITES))
+
+
+def changes(holons: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The states that add to any satellite: id, updated_at, the attributes and their hashes."""
+    return versions(holons, snapshots).withColumnRenamed("valid_from", "updated_at").select("id", "updated_at", *SATELLITES, *[f"hash_{c}" for c in SATELLITES])
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(table(spark, sf_dir, "holons"), table(spark, sf_dir, "holon_snapshots"))
+def _both(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("holons", "holon_snapshots")]
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).filter(F.col("new_layer") | F.col("new_cached_r_score"))
-    return rows.select("id", F.floor(F.unix_micros(F.col("updated_at").cast("timestamp")) / 1_000_000).cast("long").alias("valid_from_s"))
+    rows = versions(*_both(spark, sf_dir))
+    return rows.select("id", F.floor(F.unix_micros(F.col("valid_from").cast("timestamp")) / 1_000_000).cast("long").alias("valid_from_s"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(_rows(spark, sf_dir))
+    return versions(*_both(spark, sf_dir)).select("id", "layer", "cached_r_score", "valid_from", "valid_to", "is_current")
 
 
 def satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(_rows(spark, sf_dir), "changes")
+    rows = changes(*_both(spark, sf_dir))
     return satellite(rows, "layer").unionByName(satellite(rows, "cached_r_score")).drop("hash_diff")
 
 

@@ -1,95 +1,187 @@
 """Neighbouring rows in one global order, without a task that holds a whole group.
 
 A window partitioned by context or entity puts a hot group into one task. Here the rows are range-partitioned by
-(group, order) instead, so that every task holds an equal share however the groups are sized; windows run inside the
-ranges, and one summary row per range carries the neighbour across its edge.
+(group, order) and sorted, so that every task holds an equal share however the groups are sized. One Arrow pass over each
+sorted range compares neighbours; no second shuffle brings the ranges together again. What crosses the edges of ranges
+is settled on the driver from the first and last row of each range, at most two per shuffle partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.session import partitions, staged
 
+#: (rows before, rows here), both with the carried columns only -> whether each row opens something new.
+Differs = Callable[[pa.Table, pa.Table], np.ndarray]
 
-def boundaries(df: DataFrame, by: list[str], carry: list[str], differs: Callable[[Column], Column], ranges: int | None = None) -> DataFrame:
-    """For opening(): the rows of df that differ from the row just before in the order of `by`; the first row of all always does.
 
-    differs gets the struct of the `carry` columns of the row before and says whether a row opens something new; null
-    counts as yes. A kept row has `_prev`, that struct, null for the first of all; `_index`, its 0-based place among all
-    rows, so that differences of places count the rows between; `_range` and `_row`. opening() filters the boundaries,
-    last_row() tells about the end. Rows that equal their predecessor go no further than the task that
-    sees both: what is staged is the boundaries, and the first and last row of each range. Nulls sort first; ties on all
-    of `by` come in an arbitrary but fixed order.
-    """
-    n = ranges or partitions(df.sparkSession)
-    inside = Window.partitionBy("_range").orderBy(*by)
-    ranged = df.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id())
-    rows = ranged.select(
-        "*", F.row_number().over(inside).alias("_row"), F.lag(F.struct(*carry)).over(inside).alias("_before"),
-        F.lead(F.lit(True)).over(inside).isNull().alias("_ends"),
-    )
-    opens = F.coalesce(differs(F.col("_before")), F.lit(True))
-    rows = staged(rows.filter((F.col("_row") == 1) | F.col("_ends") | opens), "ordered")
-    # One row per range: at most n.
-    across = Window.orderBy("_range")
-    edges = rows.filter("_ends").select(
-        "_range",
-        F.coalesce(F.sum("_row").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.lag(F.struct(*carry)).over(across).alias("_carried"),
-        (F.col("_row") + F.coalesce(F.sum("_row").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_through"),
-    )
-    placed = rows.join(F.broadcast(edges), "_range").select(
-        *df.columns, "_range", "_row", "_ends", "_through",
-        (F.col("_offset") + F.col("_row") - 1).alias("_index"),
-        F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_before")).alias("_prev"),
-    )
-    return placed.withColumn("_opens", F.coalesce(differs(F.col("_prev")), F.lit(True)))
-
-
-def opening(placed: DataFrame) -> DataFrame:
-    """The boundary rows of boundaries()."""
-    return placed.filter("_opens")
-
-
-def last_row(placed: DataFrame, columns: list[str]) -> Row:
-    """Of the very last row of all: the number of rows, and the given columns; nulls and 0 where there is no row."""
-    ends = placed.filter("_ends")
-    return ends.agg(F.coalesce(F.max("_through"), F.lit(0)), *[F.max_by(c, "_range") for c in columns]).first()
-
-
-def spans(starts: DataFrame, carry: dict[str, Column]) -> DataFrame:
-    """For rows of opening(): `_next`, the struct of `carry` at the next boundary in the whole order, null at the last one.
-
-    carry is evaluated on the next boundary row; it may use `_prev` there, which is the row that ends this span.
+def unequal(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Whether values differ, where null equals only null."""
+    a, b = a.combine_chunks(), b.combine_chunks()
+    return ~(np.asarray(pc.fill_null(pc.equal(a, b), False)) | (np.asarray(a.is_null()) & np.asarray(b.is_null())))
+
+
+def _struct(rows: pa.Table, kind: pa.DataType, wanted: tuple[str, ...], edge: bool) -> pa.Array:
+    """The carried columns of a table as one struct array; fields not wanted are null, but for the first row if it is at an edge."""
+    n = rows.num_rows
+    fields = []
+    for f in kind:
+        values = rows.column(f.name).combine_chunks().cast(f.type)
+        if f.name not in wanted:
+            values = pa.concat_arrays([values.slice(0, 1), pa.nulls(n - 1, f.type)]) if edge and n else pa.nulls(n, f.type)
+        fields.append(values)
+    return pa.StructArray.from_arrays(fields, fields=list(kind))
+
+
+def stretches(df: DataFrame, by: list[str], carry: list[str], differs: Differs, last: tuple[str, ...] = (), next_: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """df's rows that open a stretch in the order of `by`, each with its stretch; staged.
+
+    A row opens a stretch if `differs` says so of it and the row just before; the first of all always does. Added are
+    `_last`, the struct of the given columns of its last row, `_next`, that of the row that opens the next stretch (null
+    at the end), and `_count`, its number of rows. `last` and `next_` name some of `carry`, the columns that `differs`
+    sees. Rows that open nothing go no further than the task that sees them. Nulls sort first; ties on all of `by` come
+    in an arbitrary but fixed order.
     """
-    inside = Window.partitionBy("_range").orderBy("_row")
-    packed = F.struct(*[c.alias(k) for k, c in carry.items()])
-    rows = starts.withColumn("_own", packed)
-    # One row per range that has a boundary: at most the number of ranges.
-    edges = rows.groupBy("_range").agg(F.min_by("_own", "_row").alias("_first"), F.max("_row").alias("_end"))
-    edges = edges.select("_range", "_end", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
-    led = rows.withColumn("_lead", F.lead("_own").over(inside))
-    return (
-        led.join(F.broadcast(edges), "_range")
-        .withColumn("_next", F.when(F.col("_row") == F.col("_end"), F.col("_after")).otherwise(F.col("_lead")))
-        .drop("_own", "_lead", "_end", "_after")
-    )
+    spark = df.sparkSession
+    kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in carry])
+    extra = [("_range", T.IntegerType()), ("_row", T.LongType()), ("_final", T.BooleanType()), ("_count", T.LongType()), ("_last", kinds), ("_next", kinds)]
+    schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in extra])
+    ordered = df.repartitionByRange(ranges or partitions(spark), *by).sortWithinPartitions(*by)
+    local = staged(ordered.mapInArrow(_local_stretches(schema, carry, differs, last, next_), schema), "stretches")
+
+    ends = local.filter("_row = 0 OR _final").select("_range", "_row", "_final", "_count", "_last", "_next", F.struct(*carry).alias("_own")).collect()
+    first = sorted((r for r in ends if r["_row"] == 0), key=lambda r: r["_range"])
+    final = sorted((r for r in ends if r["_final"]), key=lambda r: r["_range"])
+    opens = [True, *_across(differs, kinds, [r["_last"] for r in final[:-1]], [r["_own"] for r in first[1:]])]
+    edges, end, after, more = [], None, None, 0
+    for k in reversed(range(len(first))):
+        # What the last stretch of this range still gets from the ranges behind it.
+        if k + 1 == len(first) or opens[k + 1]:
+            end, after, more = final[k]["_last"], first[k + 1]["_own"] if k + 1 < len(first) else None, 0
+        elif first[k + 1]["_final"]:
+            more += first[k + 1]["_count"]
+        else:
+            end, after, more = first[k + 1]["_last"], first[k + 1]["_next"], first[k + 1]["_count"]
+        edges.append((first[k]["_range"], opens[k], end, after, more))
+    shape = T.StructType([T.StructField(n, t) for n, t in [("_range", T.IntegerType()), ("_opens", T.BooleanType()), ("_end", kinds), ("_after", kinds), ("_more", T.LongType())]])
+    joined = local.join(F.broadcast(spark.createDataFrame(edges, shape)), "_range").filter((F.col("_row") > 0) | F.col("_opens"))
+
+    def part(inner: str, edge: str, names: tuple[str, ...]) -> Column:
+        """The named fields of a struct, taken from the edges for the last stretch of a range."""
+        whole = F.when(F.col("_final"), F.col(edge)).otherwise(F.col(inner))
+        return F.when(whole.isNotNull(), F.struct(*[whole[c].alias(c) for c in names]) if names else F.struct(F.lit(True).alias("there"))).alias(inner)
+
+    count = F.col("_count") + F.when(F.col("_final"), F.col("_more")).otherwise(0)
+    return joined.select(*df.columns, part("_last", "_end", last), part("_next", "_after", next_), count.alias("_count"))
+
+
+def _across(differs: Differs, kinds: T.StructType, before: list, here: list) -> list[bool]:
+    shape = to_arrow_schema(kinds)
+    tables = [pa.Table.from_pylist([r.asDict() for r in rows], shape) for rows in (before, here)]
+    return [bool(x) for x in differs(*tables)] if here else []
+
+
+def _local_stretches(schema: T.StructType, carry: list[str], differs: Differs, last: tuple[str, ...], next_: tuple[str, ...]):
+    """The stretches of one sorted range. Columns that only the edges need are null elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(schema)
+        kind, number = shape.field("_last").type, TaskContext.get().partitionId()
+        seen, tail, begun, begun_before, begun_at = 0, None, None, None, np.empty(0, np.int64)
+
+        def rows(starts: pa.Table, at: np.ndarray, ends: pa.Array, after: pa.Array, until: np.ndarray, final: bool) -> Iterator[pa.RecordBatch]:
+            n = len(at)
+            more = [pa.array(np.full(n, number, np.int32)), pa.array(at), pa.array(np.full(n, final)), pa.array(until - at), ends, after]
+            yield from pa.Table.from_arrays([c.combine_chunks().cast(f.type) for c, f in zip(starts.columns, shape)] + more, schema=shape).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch])
+            here = whole.select(carry)
+            before = pa.concat_tables([here.slice(0, 1) if tail is None else tail, here.slice(0, batch.num_rows - 1)])
+            opens = np.array(differs(before, here))
+            opens[0] |= tail is None
+            new = np.flatnonzero(opens)
+            tail = here.slice(batch.num_rows - 1)
+            if len(new):
+                starts, befores, at = whole.take(new), before.take(new), seen + new
+                if begun is not None:
+                    starts, befores, at = pa.concat_tables([begun, starts]), pa.concat_tables([begun_before, befores]), np.concatenate([begun_at, at])
+                n, edge = len(at) - 1, at[0] == 0
+                if n:
+                    yield from rows(starts.slice(0, n), at[:n], _struct(befores.slice(1), kind, last, edge), _struct(starts.select(carry).slice(1), kind, next_, edge), at[1:], False)
+                begun, begun_before, begun_at = starts.slice(n), befores.slice(n), at[n:]
+            seen += batch.num_rows
+        if begun is not None:
+            yield from rows(begun, begun_at, _struct(tail, kind, last, True), pa.nulls(1, kind), np.array([seen]), True)
+
+    return run
 
 
 def running_total(df: DataFrame, group: str, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
     """df with `_before`, the sum of `value` over the rows of the same group that come before in the order of `by`. Staged.
 
-    Range-partitioned by (group, by), so a hot group is split. Across ranges one row per range and group is added up: at
-    most the number of ranges plus that of groups. Null values count as 0.
+    Range-partitioned by (group, by), so a hot group is split. Only the first group of a range can go on from the range
+    before; so what is broadcast is one row per range, however many groups there are. Null values count as 0, null
+    groups are one group.
     """
-    n = ranges or partitions(df.sparkSession)
-    inside = Window.partitionBy("_range", group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = df.repartitionByRange(n, group, *by).withColumn("_range", F.spark_partition_id())
-    rows = staged(ranged.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0))), "running")
-    sums = rows.groupBy("_range", group).agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_range", group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
-    return rows.join(F.broadcast(sums), ["_range", group]).select(*df.columns, (F.col("_carried") + F.col("_here")).alias("_before"))
+    spark = df.sparkSession
+    extra = [("_range", T.IntegerType()), ("_edge", T.IntegerType()), ("_going", T.BooleanType()), ("_here", T.LongType())]
+    schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in extra])
+    ordered = df.repartitionByRange(ranges or partitions(spark), group, *by).sortWithinPartitions(group, *by)
+    rows = staged(ordered.mapInArrow(_local_totals(schema, group, value), schema), "running")
+    # The last row of each range tells what its last group has come to, and whether that is its first group as well.
+    ends = rows.filter("_edge > 0").select("_range", "_edge", "_going", (F.col("_here") + F.coalesce(F.col(value), F.lit(0))).cast("long").alias("_sum"), F.col(group).alias("_group")).collect()
+    first = {r["_range"]: r["_group"] for r in ends if r["_edge"] & 1}
+    carried, over, at = [], 0, None
+    for r in sorted((r for r in ends if r["_edge"] & 2), key=lambda r: r["_range"]):
+        over = over if carried and first[r["_range"]] == at else 0
+        carried.append((r["_range"], over))
+        over, at = r["_sum"] + (over if r["_going"] else 0), r["_group"]
+    edges = F.broadcast(spark.createDataFrame(carried, "_range int, _carried long"))
+    return rows.join(edges, "_range").select(*df.columns, (F.col("_here") + F.when(F.col("_going"), F.col("_carried")).otherwise(0)).alias("_before"))
+
+
+def _local_totals(schema: T.StructType, group: str, value: str):
+    """Adds the number of the range, 1 for its first row and 2 for its last (3 for both), whether the row is in the range's first
+    group, and the sum of its group before it inside the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(schema)
+        number, going, total, last, held, seen = TaskContext.get().partitionId(), True, 0, None, None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            whole = pa.Table.from_batches([batch])
+            own = whole.select([group])
+            new = unequal(pa.concat_tables([own.slice(0, 1) if last is None else last, own.slice(0, n - 1)]).column(0), own.column(0))
+            last = own.slice(n - 1)
+            amount = pc.fill_null(whole.column(value).combine_chunks().cast(pa.int64()), 0).to_numpy()
+            sums = np.concatenate([[0], np.cumsum(amount)[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the group goes on from the batch before
+            here = sums - np.where(begin < 0, -total, sums[begin])
+            total = int(here[-1] + amount[-1])
+            inside = going & ~np.logical_or.accumulate(new)
+            going = bool(inside[-1])
+            edge = np.where(np.arange(n) + seen == 0, 1, 0).astype(np.int32)
+            seen += n
+            out = pa.Table.from_arrays([c.combine_chunks().cast(f.type) for c, f in zip(whole.columns, shape)] + [pa.array(np.full(n, number, np.int32)), pa.array(edge), pa.array(inside), pa.array(here)], schema=shape)
+            if held is not None:
+                yield from held.to_batches()
+            held = out.slice(n - 1)
+            yield from out.slice(0, n - 1).to_batches()
+        if held is not None:
+            place = len(shape) - 3
+            yield from held.set_column(place, shape.field(place), pa.array([int(held.column(place)[0].as_py()) | 2], pa.int32())).to_batches()
+
+    return run
