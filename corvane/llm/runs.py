@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import key
-from corvane.operators.sequence import boundaries, last_row, opening, spans
+from corvane.operators.sequence import stretches, unequal
+from corvane.operators.skew import salted_join
+from corvane.session import staged
 from corvane.sources.tables import table
 
 GAP_SECONDS = 600
 #: A digest cut short has at least so many digits.
 LEAST_DIGITS = 8
-#: The catalogue is broadcast inside an expression; larger ones are refused.
-MOST_TOOLS = 2_000
+#: Distinct written names that are sent to every task; more of them are joined by a shuffle that splits hot names.
+SENT_NAMES = 20_000
 
 
 def name_tokens(name: Column) -> Column:
@@ -22,40 +27,33 @@ def name_tokens(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(split), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
-def aliases(catalog: list[str]) -> list[tuple[str, str]]:
-    """(alias, entry), longest first: each entry's own name, and the name without a first token that most entries share."""
-    names = {n: key_tokens(n) for n in catalog if n}
-    firsts = [t[0] for t in names.values() if len(t) > 1]
-    shared = {f for f in firsts if firsts.count(f) * 2 > len(names)}
-    own = {"_".join(t): n for n, t in sorted(names.items())}
-    short: dict[str, str | None] = {}
-    for n, t in sorted(names.items()):
-        if len(t) > 1 and t[0] in shared:
-            a = "_".join(t[1:])
-            short[a] = None if a in short else n
-    both = {a: n for a, n in short.items() if n is not None} | own
-    return sorted(both.items(), key=lambda x: (-x[0].count("_"), -len(x[0]), x[0]))
-
-
-def key_tokens(name: str) -> list[str]:
-    return [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in name.lower()).split() if t]
-
-
-def tool(name: Column, catalog: list[str]) -> Column:
-    """The catalogue entry a name denotes: the one with the longest alias at the end of its tokens. A name that denotes
-    none stands for itself, as tokens; a null name for the empty string."""
-    tokens = F.coalesce(name_tokens(name), F.lit(""))
-    glued = F.regexp_replace(tokens, "_", "")
-    pairs = aliases(catalog)
-    out = tokens
-    for alias, entry in reversed(pairs):  # names written without any separator, tried last
-        out = F.when(glued == alias.replace("_", ""), F.lit(entry)).otherwise(out)
-    # when() chains evaluate in order: the longest alias wins.
-    chain = None
-    for alias, entry in pairs:
-        hit = (tokens == alias) | tokens.endswith("_" + alias)
-        chain = F.when(hit, F.lit(entry)) if chain is None else chain.when(hit, F.lit(entry))
-    return out if chain is None else chain.otherwise(out)
+def aliases(catalog: DataFrame) -> DataFrame:
+    """alias, entry: each entry's own name as tokens, and the name without a first token that most entries share. An alias
+    that several entries have is left to the entry of which it is the whole name, or to none."""
+    # A catalogue is a table of names: one task reads it, and nothing below shuffles.
+    names = catalog.filter(F.col("tool_name").isNotNull()).select(F.col("tool_name").alias("entry")).coalesce(1).distinct()
+    names = names.withColumn("alias", F.regexp_replace(F.regexp_replace(F.lower("entry"), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")).filter("alias <> ''")
+    head = names.withColumn("_first", F.substring_index("alias", "_", 1)).withColumn("_long", F.instr("alias", "_") > 0)
+    shared = head.filter("_long").groupBy("_first").agg(F.count("*").alias("_n")).filter(F.col("_n") * 2 > names.count()).select("_first")
+    short = head.filter("_long").join(shared, "_first", "left_semi").select("entry", F.expr("substring(alias, length(_first) + 2)").alias("alias"), F.lit(False).alias("whole"))
+    both = names.select("entry", "alias", F.lit(True).alias("whole")).unionByName(short)
+    kept = both.groupBy("alias").agg(F.max(F.when(F.col("whole"), F.col("entry"))).alias("_own"), F.max("entry").alias("_one"), F.min("entry").alias("_least"))
+    return kept.filter(F.col("_own").isNotNull() | (F.col("_one") == F.col("_least"))).select("alias", F.coalesce("_own", "_one").alias("entry"))
+
+
+def tools(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """tool_name, tool for the distinct written names: the catalogue entry with the longest alias at the end of the name's
+    tokens, or, of a name without separators, the one whose alias it is without separators. A name that denotes none
+    stands for itself, as tokens. Equi-joins of distinct names with aliases: a catalogue of any size."""
+    known = staged(aliases(catalog), "aliases")
+    written = names.filter(F.col("tool_name").isNotNull()).select("tool_name", F.coalesce(name_tokens(F.col("tool_name")), F.lit("")).alias("_tokens"))
+    parts = F.split("_tokens", "_")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
+    suffix = written.select("tool_name", "_tokens", F.posexplode(tails).alias("_at", "alias")).join(known, "alias", "left")
+    best = suffix.groupBy("tool_name", "_tokens").agg(F.min_by("entry", F.when(F.col("entry").isNotNull(), F.col("_at"))).alias("_entry"))
+    glued = known.groupBy(F.regexp_replace("alias", "_", "").alias("_glued")).agg(F.max_by("entry", F.struct(F.length(F.regexp_replace("alias", "[^_]", "")), F.length("alias"), "entry")).alias("_whole"))
+    out = best.withColumn("_glued", F.regexp_replace("_tokens", "_", "")).join(glued, "_glued", "left")
+    return out.select("tool_name", F.coalesce("_entry", "_whole", "_tokens").alias("tool"))
 
 
 def digest(stored: Column) -> Column:
@@ -64,54 +62,64 @@ def digest(stored: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(bare, r"^[a-z0-9_-]+[:=]", ""), r"^0x|=+$", ""), F.lit(""))
 
 
-def same_digest(a: Column, b: Column) -> Column:
+def same_digest(a: str | None, b: str | None) -> bool:
     """Equal, or the shorter, of 8 digits or more, begins the longer. Null equals only null."""
-    short = F.least(F.length(a), F.length(b))
-    begins = (short >= LEAST_DIGITS) & (a.startswith(b) | b.startswith(a))
-    return F.coalesce(a.eqNullSafe(b) | begins, F.lit(False))
+    if a is None or b is None:
+        return a is b
+    return a == b or (min(len(a), len(b)) >= LEAST_DIGITS and (a.startswith(b) or b.startswith(a)))
 
 
 def events(audit_log: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per event: id, context_id, timestamp, tool, digest. Rows with one id are one event, the earliest counts;
-    ids and contexts are compared by their slug. Rows without an id cannot be named and are left out."""
-    rows = catalog.select("tool_name").filter(F.col("tool_name").isNotNull()).distinct().limit(MOST_TOOLS + 1).collect()
-    if len(rows) > MOST_TOOLS:
-        raise ValueError(f"the tool catalogue has more than {MOST_TOOLS} names")
-    known = sorted(r[0] for r in rows)
-    # The cheap normalisation first: names and hashes shrink before the shuffle.
+    ids and contexts are compared by their slug. Rows without an id cannot be named and are left out; a null tool name is
+    the empty string."""
+    named = staged(tools(audit_log.select("tool_name").distinct(), catalog), "tools")
+    count = named.count()
+    # Names and hashes shrink before the shuffle; few names go to every task, many are joined with hot ones split.
+    if count <= SENT_NAMES:
+        log = audit_log.join(F.broadcast(named), "tool_name", "left")
+    else:
+        weights = audit_log.filter(F.col("tool_name").isNotNull()).groupBy("tool_name").agg(F.count("*").alias("_w"))
+        log = salted_join(audit_log, staged(named.join(weights, "tool_name"), "tools"), "tool_name", "_w", ["id"], "left")
     row = F.struct(
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("id"), F.coalesce(key(F.col("context_id")), F.lit("")).alias("context_id"),
-        tool(F.col("tool_name"), known).alias("tool"), digest(F.col("input_hash")).alias("digest"),
+        F.coalesce("tool", F.lit("")).alias("tool"), digest(F.col("input_hash")).alias("digest"),
     )
-    one = audit_log.filter(key(F.col("id")).isNotNull()).groupBy(key(F.col("id")).alias("_key")).agg(F.min(row).alias("e"))
+    one = log.select("id", "timestamp", "context_id", "tool", "input_hash").filter(key(F.col("id")).isNotNull()).groupBy(key(F.col("id")).alias("_key")).agg(F.min(row).alias("e"))
     return one.select("e.*")
 
 
+def breaks(gap_seconds: int):
+    """Whether an event does not continue the run of the one before."""
+
+    def differs(before: pa.Table, here: pa.Table) -> np.ndarray:
+        gap = pc.subtract(here.column("at"), before.column("at"))
+        apart = unequal(before.column("context_id"), here.column("context_id")) | unequal(before.column("tool"), here.column("tool"))
+        apart |= ~np.asarray(pc.fill_null(pc.less_equal(gap, gap_seconds * 1_000_000), False))
+        # Unequal digests may still be one, cut short.
+        cut = np.flatnonzero(~apart & unequal(before.column("digest"), here.column("digest")))
+        apart[cut] = [not same_digest(a, b) for a, b in zip(before.column("digest").take(cut).to_pylist(), here.column("digest").take(cut).to_pylist())]
+        return apart
+
+    return differs
+
+
 def collapsed(rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """Each run of neighbouring equal events as one row: context_id, tool, first_id, last_id, first_at, last_at, n_events,
     duration_s.
 
     Boundary-only: an event is kept where it differs from its predecessor in context, tool or digest, or comes more than
-    gap_seconds later. Over the kept rows, lead gives the next start: the difference of positions is the count, and the
-    event before that start is the end of the run. Contexts are range-partitioned by time, never gathered in one task.
-    An event without a timestamp is a run of its own.
+    gap_seconds later. Over the kept rows, the next start gives the rest: the difference of positions is the count, and
+    the event before that start is the end of the run. Contexts are range-partitioned by time, never gathered in one
+    task. An event without a timestamp is a run of its own.
     """
-    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
-
-    def differs(prev: Column) -> Column:
-        same = (prev["context_id"] == F.col("context_id")) & (prev["tool"] == F.col("tool")) & (F.col("at") - prev["at"] <= gap_seconds * 1_000_000)
-        return ~(same & same_digest(prev["digest"], F.col("digest")))
-
-    placed = boundaries(rows.withColumn("at", at).drop("timestamp"), ["context_id", "at", "id"], ["context_id", "tool", "digest", "id", "at"], differs)
-    led = spans(opening(placed), {"index": F.col("_index"), "id": F.col("_prev.id"), "at": F.col("_prev.at")})
-    # The last run of all ends with the last event of all.
-    final = last_row(placed, ["id", "at"])
-    ends = {"index": "long", "id": "string", "at": "long"}
-    end = {k: F.when(F.col("_next").isNotNull(), F.col(f"_next.{k}")).otherwise(F.lit(v).cast(kind)) for (k, kind), v in zip(ends.items(), final)}
+    placed = rows.withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp"))).drop("timestamp")
+    led = stretches(placed, ["context_id", "at", "id"], ["context_id", "tool", "digest", "id", "at"], breaks(gap_seconds), last=("id", "at"))
+    end = F.col("_last.at")
     return led.select(
-        "context_id", "tool", F.col("id").alias("first_id"), end["id"].alias("last_id"),
-        F.timestamp_micros(F.col("at")).cast("timestamp_ntz").alias("first_at"), F.timestamp_micros(end["at"]).cast("timestamp_ntz").alias("last_at"),
-        (end["index"] - F.col("_index")).alias("n_events"), ((end["at"] - F.col("at")) / 1e6).alias("duration_s"),
+        "context_id", "tool", F.col("id").alias("first_id"), F.col("_last.id").alias("last_id"),
+        F.timestamp_micros(F.col("at")).cast("timestamp_ntz").alias("first_at"), F.timestamp_micros(end).cast("timestamp_ntz").alias("last_at"),
+        F.col("_count").alias("n_events"), ((end - F.col("at")) / 1e6).alias("duration_s"),
     )
 
 

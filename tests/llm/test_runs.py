@@ -16,7 +16,9 @@ T0 = datetime(2022, 1, 1)
     ("other", "other"), (None, ""), ("", ""),
 ])
 def test_tool_names(spark, name, want):
-    assert spark.createDataFrame([(name,)], "n string").select(runs.tool(F.col("n"), CATALOG)).first()[0] == want
+    catalog = spark.createDataFrame([(c,) for c in CATALOG] + [(None,)], "tool_name string")
+    log = spark.createDataFrame([("e1", "x", T0, name, None, "", 1)], LOG)
+    assert runs.events(log, catalog).first().tool == want
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [
@@ -24,8 +26,8 @@ def test_tool_names(spark, name, want):
     (None, " ", True), (None, "4fc0b910", False), ("4fc0b91092a7", "4fc0b91192a7", False),
 ])
 def test_digests(spark, a, b, want):
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(runs.same_digest(runs.digest(F.col("a")), runs.digest(F.col("b"))))
-    assert row.first()[0] is want
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(runs.digest(F.col("a")), runs.digest(F.col("b"))).first()
+    assert runs.same_digest(*row) is want
 
 
 def collapsed(spark, rows):
@@ -47,5 +49,18 @@ def test_one_hot_context(spark):
     assert len(got) == 100 and set(got.values()) == {(7, 6.0)}
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_large_catalogues(spark, n):
+    catalog = spark.range(n).select(F.concat(F.lit("acme_tool_"), F.col("id").cast("string")).alias("tool_name"), F.lit(0).alias("alias"))
+    names = spark.createDataFrame([("Acme/AcmeTool_7",), ("tool-1999",), ("acmetool12",), ("tool_x",)], "tool_name string")
+    got = {r.tool_name: r.tool for r in runs.tools(names, catalog).collect()}
+    assert got == {"Acme/AcmeTool_7": "acme_tool_7", "tool-1999": "acme_tool_1999", "acmetool12": "acme_tool_12", "tool_x": "tool_x"}
+
+
+def test_many_written_names(spark, monkeypatch):
+    monkeypatch.setattr(runs, "SENT_NAMES", 0)
+    test_runs(spark)
+
+
 def test_nothing(spark):
     assert collapsed(spark, []) == {}
