@@ -25,9 +25,21 @@ def short_hash(x: Column) -> Column:
     return F.substring(F.sha2(x, 256), 1, 16)
 
 
+#: Characters that are written as escapes inside JSON strings.
+ESCAPED = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+
+
+def json_text(x: Column) -> Column:
+    """A struct or map as JSON with nulls written as null, and with `<`, `>`, `&` and the two line separators escaped."""
+    out = F.to_json(x, {"ignoreNullFields": "false"})
+    for sign, escape in ESCAPED.items():
+        out = F.replace(out, F.lit(sign), F.lit(escape))
+    return out
+
+
 def canonical_json(pairs: dict[str, Column]) -> Column:
-    """A JSON object with its keys in sorted order; nulls are left out."""
-    return F.to_json(F.struct(*[pairs[k].alias(k) for k in sorted(pairs)]))
+    """A JSON object with its keys in sorted order."""
+    return json_text(F.struct(*[pairs[k].alias(k) for k in sorted(pairs)]))
 
 
 def has_frontmatter(doc: Column) -> Column:
@@ -85,9 +97,14 @@ def format_invariants(x: Column) -> Column:
     return _itemised(x, NUMBER, "", ". ")
 
 
+#: The two forms of an instant that are understood, RFC 3339 and a plain date.
+RFC_3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
+PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def parse_instant(x: Column) -> Column:
-    """An instant or a plain date; anything else is null."""
-    return F.coalesce(F.try_to_timestamp(x), F.try_to_timestamp(x, F.lit("yyyy-MM-dd")))
+    """An RFC 3339 instant or a plain date; anything else, such as a year, a month or a time of day, is null."""
+    return F.when(x.rlike(RFC_3339) | x.rlike(PLAIN_DATE), F.try_to_timestamp(F.translate(x, ",", ".")))
 
 
 def carrier_of_kind(kind: Column) -> Column:

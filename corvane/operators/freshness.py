@@ -50,12 +50,12 @@ def report_sections(stale: DataFrame, waived: DataFrame) -> DataFrame:
 
 def waiver_requests(requests: DataFrame, evidence: DataFrame, at: Column) -> DataFrame:
     """requests (evidence_id, until, rationale) with the instant that `until` names and what is wrong: unknown evidence, a
-    missing value, no date, or one that is not in the future. problem is null for a good request."""
+    missing value, no date, or one in the past. problem is null for a good request."""
     known = requests.join(evidence.select(F.col("id").alias("evidence_id"), F.lit(True).alias("_known")), "evidence_id", "left")
     when = parse_instant(F.col("until")).cast("timestamp_ntz")
     problem = (
         F.when((F.coalesce("until", F.lit("")) == "") | (F.coalesce("rationale", F.lit("")) == ""), "until and rationale are required")
-        .when(F.col("_known").isNull(), "unknown evidence").when(when.isNull(), "until is no date").when(when <= at, "until is not in the future")
+        .when(F.col("_known").isNull(), "unknown evidence").when(when.isNull(), "until is no date").when(when < at, "until is not in the future")
     )
     return known.select("evidence_id", "until", "rationale", when.alias("waived_until"), problem.alias("problem"))
 
@@ -96,6 +96,6 @@ SQL = {
         UNION ALL SELECT 3, strftime(waived_until, '%Y-%m-%d %H:%M:%S') || ' ' || evidence_id, printf('| %s | %s | %s | %s | %s |', coalesce(title, ''), evidence_id, strftime(waived_until, '%Y-%m-%d'), waived_by, coalesce(rationale, '')) FROM waived
         UNION ALL SELECT 4, strftime(waived_until, '%Y-%m-%d %H:%M:%S') || ' ' || evidence_id, printf('⚠️ Waiver for %s expires in %d days', evidence_id, days_until_expiry) FROM waived WHERE days_until_expiry <= 30""", _STALE),
     "waiver_requests": sql(f"""SELECT w.evidence_id, strftime(waived_until, '%Y-%m-%d') AS until, rationale, date_trunc('day', waived_until) AS waived_until,
-        CASE WHEN coalesce(rationale, '') = '' THEN 'until and rationale are required' WHEN e.id IS NULL THEN 'unknown evidence' WHEN date_trunc('day', waived_until) <= TIMESTAMP '{AS_OF}' THEN 'until is not in the future' END AS problem
+        CASE WHEN coalesce(rationale, '') = '' THEN 'until and rationale are required' WHEN e.id IS NULL THEN 'unknown evidence' WHEN date_trunc('day', waived_until) < TIMESTAMP '{AS_OF}' THEN 'until is not in the future' END AS problem
         FROM w LEFT JOIN e ON e.id = w.evidence_id"""),
 }

@@ -2,7 +2,7 @@
 
 Every operator of this package that takes holons, evidence, relations, waivers or audit rows takes them in this form.
 Rows without a key are left out. Of holons with one id the row updated last counts, of other repeated keys the one
-created last; where these tie, each column's larger value. Extra columns are dropped.
+created last; where these tie, the row that is larger in the other columns, in turn. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,13 +28,20 @@ def layer_name(x: Column) -> Column:
     return F.when(low == "invalid", low).otherwise(F.upper(low))
 
 
-def _latest(df: DataFrame, keys: dict[str, Column], first: list[str], rest: dict[str, Column]) -> DataFrame:
-    """One row per key, the largest by the `first` columns in turn; where all of these tie, each other column its largest
-    value. An aggregate per column, not one over packed rows, so that columns nobody asks for are never read."""
-    named = df.select(*[v.alias(f"_k_{c}") for c, v in keys.items()], *[v.alias(c) for c, v in rest.items()])
+def _latest(df: DataFrame, keys: dict[str, Column], tiers: list[dict[str, Column]]) -> DataFrame:
+    """One row per key, as it is stored: the largest in the order of all columns, tier by tier.
+
+    A tier's columns are taken from the largest prefix of a row that ends with that tier. The prefixes of the largest row
+    are the largest prefixes, so all columns come from one row, and tiers nobody asks for are never read.
+    """
+    every = {c: v for tier in tiers for c, v in tier.items()}
+    named = df.select(*[v.alias(f"_k_{c}") for c, v in keys.items()], *[v.alias(c) for c, v in every.items()])
     for c in keys:
         named = named.filter(F.col(f"_k_{c}").isNotNull())
-    picked = [F.max(F.struct(*first, *([] if c in first else [c])))[c].alias(c) for c in rest]
+    picked, upto = [], []
+    for tier in tiers:
+        upto += list(tier)
+        picked += [F.max(F.struct(*upto))[c].alias(c) for c in tier]
     return named.groupBy(*[F.col(f"_k_{c}").alias(c) for c in keys]).agg(*picked)
 
 
@@ -43,29 +50,29 @@ def _cols(*names: str) -> dict[str, Column]:
 
 
 def holons(df: DataFrame) -> DataFrame:
-    rest = {"updated_at": F.col("updated_at"), "cached_r_score": F.col("cached_r_score"), "layer": layer_name(F.col("layer"))}
-    rest |= _cols("type", "kind", "title", "content", "context_id", "scope") | {"parent_id": key(F.col("parent_id")), "created_at": F.col("created_at")}
-    return _latest(df, {"id": key(F.col("id"))}, ["updated_at", "cached_r_score", "layer"], rest)
+    state = {"updated_at": F.col("updated_at"), "cached_r_score": F.col("cached_r_score"), "layer": layer_name(F.col("layer"))}
+    about = _cols("type", "kind", "context_id", "scope", "created_at") | {"parent_id": key(F.col("parent_id"))}
+    return _latest(df, {"id": key(F.col("id"))}, [state, about, _cols("title", "content")])
 
 
 def evidence(df: DataFrame) -> DataFrame:
-    rest = {"created_at": F.col("created_at"), "holon_id": key(F.col("holon_id"))} | _cols("type", "content", "verdict", "assurance_level", "carrier_ref", "valid_until")
-    return _latest(df, {"id": key(F.col("id"))}, ["created_at"], rest)
+    state = {"created_at": F.col("created_at"), "holon_id": key(F.col("holon_id"))} | _cols("verdict", "valid_until")
+    return _latest(df, {"id": key(F.col("id"))}, [state, _cols("type", "assurance_level", "carrier_ref"), _cols("content")])
 
 
 def relations(df: DataFrame) -> DataFrame:
     keys = {"source_id": key(F.col("source_id")), "target_id": key(F.col("target_id")), "relation_type": F.col("relation_type")}
-    return _latest(df, keys, ["created_at"], _cols("created_at", "congruence_level"))
+    return _latest(df, keys, [_cols("created_at", "congruence_level")])
 
 
 def waivers(df: DataFrame) -> DataFrame:
-    rest = {"created_at": F.col("created_at"), "evidence_id": key(F.col("evidence_id"))} | _cols("waived_by", "waived_until", "rationale")
-    return _latest(df, {"id": key(F.col("id"))}, ["created_at"], rest)
+    state = {"created_at": F.col("created_at"), "evidence_id": key(F.col("evidence_id"))} | _cols("waived_until", "waived_by")
+    return _latest(df, {"id": key(F.col("id"))}, [state, _cols("rationale")])
 
 
 def audit(df: DataFrame) -> DataFrame:
-    rest = _cols("timestamp", "tool_name", "operation") | {"actor": F.lower("actor"), "target_id": F.col("target_id"), "input_hash": F.col("input_hash"), "result": F.upper("result")} | _cols("details", "context_id")
-    return _latest(df, {"id": key(F.col("id"))}, ["timestamp"], rest)
+    row = _cols("timestamp", "context_id", "tool_name", "operation") | {"actor": F.lower("actor"), "target_id": F.col("target_id"), "input_hash": F.col("input_hash"), "result": F.upper("result")}
+    return _latest(df, {"id": key(F.col("id"))}, [row, _cols("details")])
 
 
 def work_records(orders: DataFrame) -> DataFrame:
@@ -122,21 +129,25 @@ def _k(c: str) -> str:
     return f"nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 
 
+_LAYER = "CASE WHEN lower(trim(layer)) = 'invalid' THEN 'invalid' ELSE upper(trim(layer)) END"
+
+
+def _one(keys: str, *order: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in order)}) = 1"
+
+
 #: The same in SQL: h, e, r, w and a.
 VIEWS = f"""
-h AS (SELECT {_k('id')} AS id, type, kind, CASE WHEN lower(trim(layer)) = 'invalid' THEN 'invalid' ELSE upper(trim(layer)) END AS layer, title, content, context_id, scope,
-    {_k('parent_id')} AS parent_id, cached_r_score, created_at, updated_at FROM holons WHERE {_k('id')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_k('id')} ORDER BY updated_at DESC NULLS LAST, cached_r_score DESC NULLS LAST,
-    CASE WHEN lower(trim(layer)) = 'invalid' THEN 'invalid' ELSE upper(trim(layer)) END DESC NULLS LAST) = 1),
+h AS (SELECT {_k('id')} AS id, type, kind, {_LAYER} AS layer, title, content, context_id, scope, {_k('parent_id')} AS parent_id, cached_r_score, created_at, updated_at FROM holons WHERE {_k('id')} IS NOT NULL
+  {_one(_k('id'), 'updated_at', 'cached_r_score', _LAYER, 'type', 'kind', 'context_id', 'scope', 'created_at', _k('parent_id'), 'title', 'content')}),
 e AS (SELECT {_k('id')} AS id, {_k('holon_id')} AS holon_id, type, content, verdict, assurance_level, carrier_ref, valid_until, created_at FROM evidence WHERE {_k('id')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_k('id')} ORDER BY created_at DESC NULLS LAST) = 1),
+  {_one(_k('id'), 'created_at', _k('holon_id'), 'verdict', 'valid_until', 'type', 'assurance_level', 'carrier_ref', 'content')}),
 r AS (SELECT {_k('source_id')} AS source_id, {_k('target_id')} AS target_id, relation_type, congruence_level, created_at FROM relations
-  WHERE {_k('source_id')} IS NOT NULL AND {_k('target_id')} IS NOT NULL AND relation_type IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_k('source_id')}, {_k('target_id')}, relation_type ORDER BY created_at DESC NULLS LAST, congruence_level DESC NULLS LAST) = 1),
+  WHERE {_k('source_id')} IS NOT NULL AND {_k('target_id')} IS NOT NULL AND relation_type IS NOT NULL {_one(_k('source_id') + ', ' + _k('target_id') + ', relation_type', 'created_at', 'congruence_level')}),
 w AS (SELECT {_k('id')} AS id, {_k('evidence_id')} AS evidence_id, waived_by, waived_until, rationale, created_at FROM waivers WHERE {_k('id')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_k('id')} ORDER BY created_at DESC NULLS LAST) = 1),
+  {_one(_k('id'), 'created_at', _k('evidence_id'), 'waived_until', 'waived_by', 'rationale')}),
 a AS (SELECT {_k('id')} AS id, "timestamp", tool_name, operation, lower(actor) AS actor, target_id, input_hash, upper(result) AS result, details, context_id FROM audit_log WHERE {_k('id')} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_k('id')} ORDER BY "timestamp" DESC NULLS LAST) = 1)
+  {_one(_k('id'), '"timestamp"', 'context_id', 'tool_name', 'operation', 'lower(actor)', 'target_id', 'input_hash', 'upper(result)', 'details')})
 """
 
 

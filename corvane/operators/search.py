@@ -103,6 +103,7 @@ QUERIES = {
 
 _CHANGED = "changed AS (SELECT DISTINCT 'M' AS status, carrier_ref AS path FROM e WHERE regexp_matches(carrier_ref, '^(src|config)/'))"
 _TEXT = "('# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, ''))"
+_JSON = r"""coalesce('"' || replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '"', '\\"'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '"', 'null')"""
 _ITEMS = "CASE WHEN regexp_matches(text, '{p}') THEN array_to_string(['{a}' || split_part(s, chr(2), 1) || '{b}' || trim(split_part(s, chr(2), 2), E' \\n\\t\\r') for s in string_split(regexp_replace(text, '{p}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) if contains(s, chr(2))], chr(10)) ELSE text END"
 SQL = {
     "carrier_staleness": sql("SELECT id, holon_id, carrier_ref FROM e WHERE carrier_ref IN (SELECT path FROM changed)", _CHANGED),
@@ -114,7 +115,7 @@ SQL = {
         arg_max(layer, (updated_at, row_)) AS last_layer, count(*) FILTER (id IN (SELECT holon_id FROM stale)) AS n_stale FROM (SELECT *, -row_number() OVER (ORDER BY id) AS row_ FROM h) GROUP BY 1""", freshness._STALE),
     "slugify": sql("SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM h"),
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 32) AS content_hash FROM documents",
-    "input_hash": sql("""SELECT id, substr(sha256('{"actor":"' || actor || '","tool":"' || tool_name || '"}'), 1, 16) AS input_hash FROM a"""),
+    "input_hash": sql(f"""SELECT id, substr(sha256('{{"actor":' || {_JSON.format('actor')} || ',"tool":' || {_JSON.format('tool_name')} || '}}'), 1, 16) AS input_hash FROM a"""),
     "tamper_check": sql(f"SELECT 'knowledge/' || layer || '/' || id || '.md' AS path, kind IS NULL AS tampered, substr(sha256({_TEXT}), 1, 32) AS expected, substr(sha256({_TEXT} || CASE WHEN kind IS NULL THEN chr(10) || 'edited' ELSE '' END), 1, 32) AS actual FROM h"),
     "self_healing": sql("SELECT '/knowledge/' || layer || '/' || id || '.md' AS path, kind IS NULL AS was_tampered, kind IS NULL AND layer = 'DRR' AS still_tampered FROM h"),
     "path_holon_id": sql(r"SELECT id, regexp_extract(target_id, '/knowledge/(?:L[012]|invalid)/([^/]+)\.md$', 1) AS holon_id FROM a WHERE contains(target_id, '/')"),

@@ -90,7 +90,7 @@ def audit_rows(calls: DataFrame, at: Column) -> DataFrame:
     the canonical JSON of the input."""
     entries = F.map_from_entries(F.array_sort(F.map_entries("input")))
     return calls.select(
-        "id", at.alias("timestamp"), "tool_name", "operation", "actor", "target_id", S.short_hash(F.to_json(entries)).alias("input_hash"),
+        "id", at.alias("timestamp"), "tool_name", "operation", "actor", "target_id", S.short_hash(S.json_text(entries)).alias("input_hash"),
         "result", "details", F.lit("default").alias("context_id"),
     )
 

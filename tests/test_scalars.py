@@ -57,7 +57,14 @@ def test_vocabulary_and_invariants(spark):
 def test_instants(spark):
     assert str(value(spark, S.parse_instant, "2022-01-02")) == "2022-01-02 00:00:00"
     assert str(value(spark, S.parse_instant, "2022-01-02T03:04:05Z")) == "2022-01-02 03:04:05"
-    assert value(spark, S.parse_instant, "soon") is None
+    assert str(value(spark, S.parse_instant, "2022-01-02T03:04:05.25+02:00")) == "2022-01-02 01:04:05.250000"
+    for x in ("soon", "2023", "2023-05", "12:30", "2023-02-30", "2023-01-01 10:00:00", "2023-01-01T10:00", "2023-01-01T25:00:00Z", " 2023-01-01", "", None):
+        assert value(spark, S.parse_instant, x) is None, x
+
+
+def test_json(spark):
+    got = spark.createDataFrame([("a<b>&\u2028", None)], "x string, y string").select(S.canonical_json({"z": F.col("x"), "a": F.col("y")}).alias("j")).first().j
+    assert got == '{"a":null,"z":"a\\u003cb\\u003e\\u0026\\u2028"}'
 
 
 def test_penalties_and_scores(spark):

@@ -5,17 +5,33 @@ from corvane.operators import freshness, history, model, references, sequence
 from pyspark.sql import functions as F
 
 
-def test_boundaries_and_spans(spark):
+def test_stretches(spark):
     data = [(k, i) for k in ("a", "b", None) for i in range(30)]
-    differs = lambda prev: ~(prev["k"].eqNullSafe(F.col("k")) & (F.floor(prev["i"] / 10) == F.floor(F.col("i") / 10)))
+
+    def differs(before, here):
+        i, j = (t.column("i").to_numpy() // 10 for t in (before, here))
+        return sequence.unequal(before.column("k"), here.column("k")) | (i != j)
+
+    want = sorted(data, key=lambda r: (r[0] or "", r[1]))
     for ranges in (1, 7, 40):
-        placed = sequence.boundaries(spark.createDataFrame(data, "k string, i int"), ["k", "i"], ["k", "i"], differs, ranges)
-        got = [(r.k, r.i, r._index, tuple(r._prev) if r._prev else None) for r in sequence.opening(placed).orderBy("_index").collect()]
-        want = sorted(data, key=lambda r: (r[0] or "", r[1]))
-        assert got == [(*want[j], j, want[j - 1] if j else None) for j in range(0, 90, 10)]
-        led = sequence.spans(sequence.opening(placed), {"index": F.col("_index")}).orderBy("_index").collect()
-        assert [r._next["index"] if r._next else None for r in led] == [*range(10, 90, 10), None]
-        assert tuple(sequence.last_row(placed, ["k", "i"])) == (90, "b", 29)
+        rows = sequence.stretches(spark.createDataFrame(data, "k string, i int"), ["k", "i"], ["k", "i"], differs, ("k", "i"), ("k", "i"), ranges)
+        got = sorted(((r.k, r.i, tuple(r._last), tuple(r._next) if r._next else None, r._count) for r in rows.collect()), key=lambda r: (r[0] or "", r[1]))
+        assert got == [(*want[j], want[j + 9], want[j + 10] if j < 80 else None, 10) for j in range(0, 90, 10)]
+
+
+def test_one_stretch_over_all_ranges(spark):
+    rows = sequence.stretches(spark.range(100), ["id"], ["id"], lambda before, here: here.column("id").to_numpy() == 97, ("id",), ("id",), 9)
+    assert sorted((r.id, r._last.id, r._next and r._next.id, r._count) for r in rows.collect()) == [(0, 96, 97, 97), (97, 99, None, 3)]
+
+
+def test_edges_are_no_more_than_the_ranges(spark, monkeypatch):
+    """However many groups there are, what is broadcast is a row per range."""
+    sent = []
+    monkeypatch.setattr(sequence.F, "broadcast", lambda df: (sent.append(df.count()), df)[1])
+    rows = spark.range(3000).selectExpr("id % 1000 AS g", "id", "1 AS v")
+    assert {r.g: r.n for r in sequence.running_total(rows, "g", ["id"], "v", 6).groupBy("g").agg(F.sum("_before").alias("n")).collect()} == dict.fromkeys(range(1000), 3)
+    sequence.stretches(rows, ["g", "id"], ["g"], lambda before, here: sequence.unequal(before.column("g"), here.column("g")), ranges=6)
+    assert sent == [6, 6]
 
 
 def test_running_total(spark):
@@ -35,7 +51,7 @@ def test_history(spark):
         ("h", "L0", 0.3, day(4), day(5), 1), ("h", "L9", 0.1, day(5), day(9), 1), ("gone", None, 0.1, day(1), day(1), 1), ("gone", None, 0.1, None, day(1), 1),
     ], SNAP)
     rows = history.changes(holons, snaps)
-    got = {(r.id, r.valid_from): (r.layer, r.cached_r_score, r.valid_to) for r in history.versions(rows).collect()}
+    got = {(r.id, r.valid_from): (r.layer, r.cached_r_score, r.valid_to) for r in history.versions(holons, snaps).collect()}
     assert got == {
         ("h", day(1)): ("l0", 0.0, day(3)), ("h", day(3)): ("l0", 0.3, day(5)), ("h", day(5)): ("l1", 0.5, None), ("gone", day(1)): (None, 0.1, None),
     }
@@ -45,13 +61,13 @@ def test_history(spark):
 
 def test_history_of_one_hot_id(spark):
     snaps = spark.createDataFrame([("hot", "L0", float(i // 10) / 10, day(1, second=i % 60, hour=i // 60), day(2), 1) for i in range(200)], SNAP)
-    rows = history.changes(spark.createDataFrame([], HOLON), snaps)
-    assert history.versions(rows).count() == 20
+    assert history.versions(spark.createDataFrame([], HOLON), snaps).count() == 20
 
 
 def test_history_of_nothing(spark):
-    rows = history.changes(spark.createDataFrame([], HOLON), spark.createDataFrame([], SNAP))
-    assert history.versions(rows).count() == 0 and history.satellite(rows, "layer").count() == 0
+    none = spark.createDataFrame([], HOLON), spark.createDataFrame([], SNAP)
+    rows = history.changes(*none)
+    assert history.versions(*none).count() == 0 and history.satellite(rows, "layer").count() == 0
 
 
 EV = "id string, holon_id string, created_at timestamp_ntz, key string"
@@ -105,3 +121,17 @@ def test_listings_have_every_row(spark, folder):
         assert queries[rows](spark, folder).count() == queries[counts](spark, folder).agg({n: "sum"}).first()[0]
     got = queries["audit_rows_by_context"](spark, folder).filter("context_id = 'default'").orderBy("place").collect()
     assert [x.place for x in got] == list(range(1, len(got) + 1)) and got == sorted(got, key=lambda x: (-x.timestamp.timestamp(), x.id))
+
+
+def test_winner_is_a_row_that_was_written(spark):
+    schema = "id string, type string, kind string, layer string, title string, content string, context_id string, scope string, parent_id string, cached_r_score double, created_at timestamp_ntz, updated_at timestamp_ntz"
+    tied = [("h", "t", None, "L0", "A1", "zzz", "c", None, None, 0.5, day(1), day(2)), ("H", "t", None, "l0", "B2", "aaa", "c", None, None, 0.5, day(1), day(2)), ("h", "t", "k", "L0", "A0", "a", "b", None, None, 0.5, day(1), day(1))]
+    row = model.holons(spark.createDataFrame(tied, schema)).first()
+    assert (row.id, row.title, row.content, row.kind, row.layer) == ("h", "B2", "aaa", None, "L0")
+    assert model.holons(spark.createDataFrame(tied, schema)).select("content").first().content == "aaa"
+
+
+def test_waiver_of_this_instant(spark):
+    asked = spark.createDataFrame([("e", "2022-01-15", "why"), ("e", "2022-01-14", "why"), ("e", "2022-01-15T00:00:00Z", "why"), ("e", "12:30", "why")], "evidence_id string, until string, rationale string")
+    got = [r.problem for r in freshness.waiver_requests(asked, spark.createDataFrame([("e",)], "id string"), model.as_of(str(day(15)))).collect()]
+    assert got == [None, "until is not in the future", None, "until is no date"]
