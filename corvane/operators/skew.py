@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from corvane.session import staged
 
@@ -31,11 +31,12 @@ def salted_join(large: DataFrame, keyed: DataFrame, on: str, weight: str, spread
 
 
 def hot_keys(large: DataFrame, on: str) -> DataFrame:
-    """on, _salts for the hot keys of large: at most 1 / HOT_SHARE rows. Staged, to salt several joins alike."""
-    counts = large.groupBy(on).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    limit = max(MIN_ROWS, int(total * HOT_SHARE))
-    return staged(counts.filter(F.col("_n") > limit).select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot")
+    """on, _salts for the hot keys of large: at most 1 / HOT_SHARE rows. large is read once; to salt several joins alike."""
+    rows = Observation()
+    counts = large.groupBy(on).agg(F.count("*").alias("_n")).observe(rows, F.sum("_n").alias("total"))
+    heavy = staged(counts.filter(F.col("_n") > MIN_ROWS), "hot")
+    limit = max(MIN_ROWS, int((rows.get.get("total") or 0) * HOT_SHARE))
+    return heavy.filter(F.col("_n") > limit).select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
 
 
 def salted(large: DataFrame, hot: DataFrame, on: str, spread: list[str]) -> DataFrame:
