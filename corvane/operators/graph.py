@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions.scalars import clamp_level, relation_of_kind
@@ -20,32 +22,115 @@ def edges(relations: DataFrame) -> DataFrame:
     return relations.filter(F.col("relation_type").isin(*WHOLES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("to")).distinct()
 
 
+def _followed(rows: DataFrame, steps: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (seed, node, top, on) and what lies one step behind those that are on, but not above level `top` if there is one.
+
+    Rows are read once, so the plan grows by a join and an aggregate a step; only what this step found first is on.
+    """
+    # The key of a row that is not followed matches nothing.
+    key = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("node")))
+    # A node stands there for many seeds, the links hold a hot node many times: the links' salt splits both.
+    met = spread_out(rows.withColumn("_key", key), hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
+    may = F.col("to").isNotNull() & (F.col("top").isNull() | F.coalesce(F.col("level") <= F.col("top"), F.lit(False)))
+    here, there = F.struct("node", F.lit(False).alias("on")), F.struct(F.col("to").alias("node"), F.lit(True).alias("on"))
+    out = met.select("seed", "top", F.explode(F.when(may, F.array(here, there)).otherwise(F.array(here))).alias("p"))
+    return out.select("seed", "top", "p.*").groupBy("seed", "node").agg(F.max("top").alias("top"), F.min("on").alias("on"))
+
+
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """seed, node: everything each seed reaches over links, itself included. seeds: seed; links: node, to.
 
-    Frontier by frontier, HOPS steps a job: only pairs found in the last round are followed, and those known before are
-    dropped by an anti join, so cycles end and the number of steps is the longest shortest path. Hot nodes are salted.
+    Frontier by frontier, HOPS steps a job: only pairs found in the last step are followed, and those known from jobs
+    before are dropped by an anti join, so cycles end and the number of steps is the longest shortest path. Hot nodes are
+    salted.
     """
-    hot = hot_keys(links, "node")
-    steps = staged(salted(links, hot, "node", ["to"]), "steps")
-    front = staged(seeds.select("seed", F.col("seed").alias("node")).filter(F.col("seed").isNotNull()).distinct(), "front")
-    known = front
+    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
+    steps = staged(salted(links, hot.withColumnRenamed("_key", "node"), "node", ["to"]).withColumn("level", F.lit(None).cast("int")), "steps")
+    known = staged(seeds.select("seed", F.col("seed").alias("node")).filter(F.col("seed").isNotNull()).distinct(), "front")
+    front = known
     while not front.isEmpty():
-        found = front
+        found = front.select("seed", "node", F.lit(None).cast("int").alias("top"), F.lit(True).alias("on"))
         for _ in range(HOPS):
-            # The frontier holds a node for many seeds, the links hold a hot node many times: the links' salt splits both.
-            next_ = spread_out(found, hot, "node").join(steps, ["node", "_salt"], "left").select("seed", "node", "to")
-            found = next_.withColumn("node", F.explode(F.array_distinct(F.array("node", F.coalesce("to", "node"))))).select("seed", "node").distinct()
-        front = staged(found.join(known, ["seed", "node"], "left_anti"), "front")
-        known = known.unionByName(front)
+            found = _followed(found, steps, hot)
+        found = staged(found.drop("top").join(known, ["seed", "node"], "left_anti"), "front")
+        known = known.unionByName(found.select("seed", "node"))
+        front = found.filter("on").select("seed", "node")
     return known
 
 
+def levels(links: DataFrame) -> DataFrame:
+    """node, level: the longest way to a node from one that no link leads to; null on a cycle and behind one.
+
+    Nodes leave in the order of their level, HOPS levels a job, and their links with them: each link is followed once.
+    """
+    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
+    steps = staged(salted(links, hot.withColumnRenamed("_key", "node"), "node", ["to"]), "steps")
+    waits = links.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("waits"))
+    named = links.select("node").unionByName(links.select(F.col("to").alias("node"))).distinct()
+    live = staged(named.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0).alias("level")).withColumn("new", F.col("waits") == 0), "live")
+    done = [live.filter("waits = 0")]
+    at = 0
+    while not live.filter("new").isEmpty():
+        rows = live.withColumn("old", F.col("waits") == 0)
+        for _ in range(HOPS):
+            at += 1
+            key = F.when(F.col("new"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("node")))
+            met = spread_out(rows.withColumn("_key", key), hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
+            own = F.struct("node", "waits", "level", "old", (F.col("waits") == 0).alias("was"), F.lit(0).cast("bigint").alias("told"))
+            none = {"waits": "bigint", "level": "int", "old": "boolean", "was": "boolean"}
+            told = F.struct(F.col("to").alias("node"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(1).cast("bigint").alias("told"))
+            both = met.select(F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, told))).alias("m")).select("m.*")
+            rows = both.groupBy("node").agg((F.max("waits") - F.sum("told")).alias("waits"), F.max("level").alias("_l"), F.max("old").alias("old"), F.max("was").alias("was"))
+            rows = rows.withColumn("new", (F.col("waits") == 0) & ~F.col("was")).select("node", "waits", F.when(F.col("new"), at).otherwise(F.col("_l")).alias("level"), "new", "old")
+        rows = staged(rows, "peeled")
+        done.append(rows.filter("waits = 0 AND NOT old"))
+        live = rows.filter("waits > 0 OR new").drop("old")
+        steps = staged(steps.join(live.select("node"), "node", "left_semi"), "steps")
+    left = live.filter("waits > 0").select("node", F.lit(None).cast("int").alias("level"))
+    return reduce(DataFrame.unionByName, [d.select("node", "level") for d in done]).unionByName(left)
+
+
 def closing(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """candidates (source, target) with would_cycle: whether target already reaches source. Source = target is a cycle."""
-    reach = reachable(candidates.select(F.col("target").alias("seed")), links)
-    back = reach.select(F.col("seed").alias("target"), F.col("node").alias("source"), F.lit(True).alias("_hit"))
-    return candidates.join(back, ["source", "target"], "left").select(*candidates.columns, F.coalesce("_hit", F.lit(False)).alias("would_cycle"))
+    """candidates (source, target) with would_cycle: whether target already reaches source. Source = target is a cycle.
+
+    Directed by the pairs: a node off the cycles is reached only from lower levels(), so most pairs are decided without a
+    search, and the search for the others follows only what lies on a level up to that of the highest source wanted. A
+    target whose sources are all found is not followed further.
+    """
+    pairs = candidates.select("source", "target").distinct()
+    level = staged(levels(links), "levels")
+    # Ids outside all links reach nothing and are reached by nothing.
+    placed = pairs.join(level.select(F.col("node").alias("source"), "level", F.lit(True).alias("_s")), "source", "left").withColumnRenamed("level", "high")
+    placed = placed.join(level.select(F.col("node").alias("target"), "level", F.lit(True).alias("_t")), "target", "left").withColumnRenamed("level", "low")
+    # A source on no cycle and behind none is reached only from such nodes, and from lower ones.
+    can = F.col("_s") & F.col("_t") & (F.col("source") != F.col("target")) & (F.col("high").isNull() | (F.coalesce(F.col("low") < F.col("high"), F.lit(False))))
+    open_ = staged(placed.filter(can).select("source", "target", "high"), "open")
+    hits = [candidates.sparkSession.createDataFrame([], "source string, target string")]
+    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
+    ranked = links.join(level.select(F.col("node").alias("to"), "level"), "to")
+    steps = staged(salted(ranked, hot.withColumnRenamed("_key", "node"), "node", ["to"]), "steps")
+    known = None
+    front = _wanted(open_).withColumn("node", F.col("seed"))
+    while not open_.isEmpty():
+        found = front.withColumn("on", F.lit(True))
+        for _ in range(HOPS):
+            found = _followed(found, steps, hot)
+        found = found.select("seed", "node", "on") if known is None else found.select("seed", "node", "on").join(known, ["seed", "node"], "left_anti")
+        found = staged(found, "front")
+        known = found.select("seed", "node") if known is None else known.unionByName(found.select("seed", "node"))
+        hit = staged(open_.join(found.select(F.col("seed").alias("target"), F.col("node").alias("source")), ["source", "target"], "left_semi").select("source", "target"), "hits")
+        hits.append(hit)
+        alive = found.filter("on").select("seed", "node")
+        open_ = staged(open_.join(hit, ["source", "target"], "left_anti").join(alive.select(F.col("seed").alias("target")).distinct(), "target", "left_semi"), "open")
+        front = alive.join(_wanted(open_), "seed")
+    found = reduce(DataFrame.unionByName, hits).withColumn("_hit", F.lit(True))
+    rows = candidates.join(found, ["source", "target"], "left")
+    return rows.select(*candidates.columns, (F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("source") == F.col("target"), F.lit(False))).alias("would_cycle"))
+
+
+def _wanted(open_: DataFrame) -> DataFrame:
+    """seed, top: the targets to search from, and the highest level of the sources wanted; null: no bound."""
+    return open_.groupBy(F.col("target").alias("seed")).agg(F.when(F.count_if(F.col("high").isNull()) == 0, F.max("high")).alias("top"))
 
 
 def proposal_links(proposals: DataFrame, holons: DataFrame, relations: DataFrame) -> DataFrame:

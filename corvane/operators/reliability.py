@@ -46,61 +46,81 @@ def reliability(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at
     """id, self_score, r for every holon and every id that something depends on, known or not.
 
     r is the least, over all paths along dependencies, of the self score at the end less the penalties on the way, not
-    under 0; a path that would come back to itself ends there with 1. Penalties only lower a value, so a set-based
-    relaxation settles every node from which no cycle can be reached, a few levels per job; the rest enumerates its
-    paths, stopping where they leave the cyclic part, return, or have lost everything. Hot dependencies are salted.
+    under 0; a path that would come back to itself ends there with 1. A node settles when all it rests on has: it then
+    tells its value along its links, once, and leaves with them, several levels per job. What never settles reaches a
+    cycle; there paths are enumerated, stopping where they leave the cyclic part, return, or have lost everything.
+    Hot dependencies are salted.
     """
     links = staged(dependencies(relations).groupBy("id", "dep").agg(F.max(penalty(F.col("level"))).alias("pen")), "links")
+    waits = links.groupBy("id").agg(F.count("*").alias("waits"))
     named = holons.select("id").unionByName(links.select("id")).unionByName(links.select(F.col("dep").alias("id"))).distinct()
     own = self_scores(evidence, at).select(F.col("holon_id").alias("id"), "self_score")
-    nodes = staged(named.join(own, "id", "left").select("id", F.coalesce("self_score", F.lit(0.0)).alias("self_score")), "nodes")
+    first = named.join(own, "id", "left").join(waits, "id", "left").select("id", F.coalesce("self_score", F.lit(0.0)).alias("self_score"), F.lit(1.0).alias("best"), F.coalesce("waits", F.lit(0)).alias("waits"))
+    live = staged(first.withColumn("new", F.col("waits") == 0), "live")
     hot = hot_keys(links, "dep")
     edges = staged(salted(links, hot, "dep", ["id"]), "edges")
-
-    def over(values: DataFrame, deps: DataFrame) -> DataFrame:
-        """deps with the values of their dep."""
-        return deps.join(spread_out(values, hot, "dep"), ["dep", "_salt"])
-
-    state = nodes.withColumn("r", F.col("self_score")).withColumn("settled", F.lit(False))
-    settled = -1
-    while True:
+    settled = [_worth(live.filter("waits = 0"))]
+    while not live.filter("new").isEmpty():
+        rows = live
         for _ in range(ROUNDS):
-            values = state.select(F.col("id").alias("dep"), "r", "settled")
-            best = over(values, edges).groupBy("id").agg(F.min(F.greatest(F.lit(0.0), F.col("r") - F.col("pen"))).alias("_m"), F.min("settled").alias("_s"))
-            state = state.drop("settled").join(best, "id", "left").select("id", "self_score", F.least("self_score", F.coalesce("_m", F.lit(1.0))).alias("r"), F.coalesce("_s", F.lit(True)).alias("settled"))
-        state = staged(state, "state")
-        now = state.filter("settled").count()
-        if now == settled:
-            break
-        settled = now
-    open_ = staged(state.filter(~F.col("settled")).select("id", "self_score"), "open")
+            rows = _told(rows, edges, hot)
+        rows = staged(rows, "told")
+        settled.append(_worth(rows.filter("waits = 0 AND NOT old")))
+        # Settled nodes have told their values, but for those of the last round; their links are not read again.
+        live = rows.filter("waits > 0 OR new").drop("old")
+        edges = staged(edges.join(live.select(F.col("id").alias("dep")), "dep", "left_semi"), "edges")
+    done = reduce(DataFrame.unionByName, settled)
+    open_ = live.filter("waits > 0").select("id", F.least("self_score", "best").alias("own"), "self_score")
     if open_.isEmpty():
-        return state.select("id", "self_score", "r")
-    return state.filter("settled").select("id", "self_score", "r").unionByName(_cyclic(open_, state, edges, over))
-
-
-def _cyclic(open_: DataFrame, state: DataFrame, edges: DataFrame, over) -> DataFrame:
-    """Values of the nodes that reach a cycle, by their simple paths."""
-    inner = staged(edges.join(open_.select("id"), "id", "left_semi"), "inner")
-    ends = staged(over(state.select(F.col("id").alias("dep"), "self_score", "r", "settled"), inner).select(F.col("id").alias("node"), "dep", "pen", "self_score", "r", "settled"), "steps")
-    ends = ends.withColumnRenamed("node", "_key")
-    hot = hot_keys(ends, "_key")
-    ends = staged(salted(ends, hot, "_key", ["dep"]), "ends")
+        return done
+    return done.unionByName(_cyclic(open_, edges, hot))
+
+
+def _worth(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "self_score", F.least("self_score", "best").alias("r"))
+
+
+def _told(rows: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """One level: new nodes tell those that rest on them. Each row is read once, so the plan grows by a join and an
+    aggregate a level; only rows that have something to tell meet links. `old`: settled before this job."""
+    # The key of a row that is silent matches nothing.
+    was = F.col("old") if "old" in rows.columns else (F.col("waits") == 0)
+    telling = rows.withColumn("old", was).withColumn("dep", F.when(F.col("new"), F.col("id")).otherwise(F.concat(F.lit("~"), F.col("id"))))
+    met = spread_out(telling, hot, "dep").join(edges.withColumnRenamed("id", "to"), ["dep", "_salt"], "left")
+    kind = "struct<id:string,self_score:double,best:double,waits:bigint,told:bigint,old:boolean,was:boolean>"
+    value = F.greatest(F.lit(0.0), F.least("self_score", "best") - F.col("pen"))
+    message = F.struct(F.col("to").alias("id"), F.lit(None).cast("double").alias("self_score"), value.alias("best"), F.lit(None).cast("bigint").alias("waits"), F.lit(1).cast("bigint").alias("told"), F.lit(None).cast("boolean").alias("old"), F.lit(None).cast("boolean").alias("was"))
+    own = F.struct("id", "self_score", "best", "waits", F.lit(0).cast("bigint").alias("told"), "old", (F.col("waits") == 0).alias("was"))
+    both = F.when(F.col("to").isNull(), F.array(own.cast(kind))).otherwise(F.array(own.cast(kind), message.cast(kind)))
+    # A hot node's row comes once per salt and once per link; all of its own columns are the same there.
+    grouped = met.select(F.explode(both).alias("m")).select("m.*").groupBy("id").agg(
+        F.max("self_score").alias("self_score"), F.min("best").alias("best"), (F.max("waits") - F.sum("told")).alias("waits"), F.max("old").alias("old"), F.max("was").alias("was"))
+    return grouped.select("id", "self_score", "best", "waits", ((F.col("waits") == 0) & ~F.col("was")).alias("new"), "old")
+
+
+def _cyclic(open_: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """Values of the nodes that reach a cycle, by their simple paths among one another. open_: id, self_score, and own, the least
+    of the self score and of what the settled dependencies leave; edges: dep, _salt, id, pen among them."""
+    open_ = staged(open_, "open")
+    ends = spread_out(open_.select(F.col("id").alias("dep"), "own"), hot, "dep").join(edges, ["dep", "_salt"]).select(F.col("id").alias("_key"), "dep", "pen", F.col("own").alias("_own"))
+    ends = staged(ends, "steps")
+    hot_from = hot_keys(ends, "_key")
+    ends = staged(salted(ends, hot_from, "_key", ["dep"]), "ends")
 
     def extended(rows: DataFrame) -> DataFrame:
         """Each open path by one step; a closed one as it is, joined by a key of its own that matches nothing."""
         own = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("root")))
         # A hot node's row goes to every salt; where it meets no step it ends as it is, which changes no minimum.
-        step = spread_out(rows.withColumn("_key", own), hot, "_key").join(ends, ["_key", "_salt"], "left")
+        step = spread_out(rows.withColumn("_key", own), hot_from, "_key").join(ends, ["_key", "_salt"], "left")
         hit, lost, back = F.col("dep").isNotNull(), F.col("lost") + F.col("pen"), F.array_contains("path", F.col("dep"))
-        worth = F.when(back, F.lit(1.0)).when(F.col("settled"), F.col("r")).otherwise(F.col("self_score")) - lost
-        on = hit & ~back & ~F.col("settled") & (lost < 1.0 - 1e-9)
+        worth = F.when(back, F.lit(1.0)).otherwise(F.col("_own")) - lost
+        on = hit & ~back & (lost < 1.0 - 1e-9)
         return step.select(
             "root", F.coalesce("dep", "node").alias("node"), F.when(on, F.concat("path", F.array("dep"))).otherwise(F.col("path")).alias("path"), F.coalesce(lost, "lost").alias("lost"),
             F.when(hit, F.least("best", F.greatest(F.lit(0.0), worth))).otherwise(F.col("best")).alias("best"), F.coalesce(on, F.lit(False)).alias("on"),
         )
 
-    front = open_.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("lost"), F.col("self_score").alias("best"), F.lit(True).alias("on"))
+    front = open_.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("lost"), F.col("own").alias("best"), F.lit(True).alias("on"))
     found = []
     while True:
         for _ in range(ROUNDS):
