@@ -14,7 +14,7 @@ from corvane.session import staged
 
 
 #: Steps along links in one job.
-HOPS = 5
+HOPS = 8
 
 
 def edges(relations: DataFrame) -> DataFrame:
@@ -22,19 +22,23 @@ def edges(relations: DataFrame) -> DataFrame:
     return relations.filter(F.col("relation_type").isin(*WHOLES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("to")).distinct()
 
 
-def _followed(rows: DataFrame, steps: DataFrame, hot: DataFrame) -> DataFrame:
+def _followed(rows: DataFrame, steps: DataFrame, hot: DataFrame | None) -> DataFrame:
     """rows (seed, node, top, on) and what lies one step behind those that are on, but not above level `top` if there is one.
 
     Rows are read once, so the plan grows by a join and an aggregate a step; only what this step found first is on.
     """
-    # The key of a row that is not followed matches nothing.
-    key = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("node")))
-    # A node stands there for many seeds, the links hold a hot node many times: the links' salt splits both.
-    met = spread_out(rows.withColumn("_key", key), hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
-    may = F.col("to").isNotNull() & (F.col("top").isNull() | F.coalesce(F.col("level") <= F.col("top"), F.lit(False)))
-    here, there = F.struct("node", F.lit(False).alias("on")), F.struct(F.col("to").alias("node"), F.lit(True).alias("on"))
-    out = met.select("seed", "top", F.explode(F.when(may, F.array(here, there)).otherwise(F.array(here))).alias("p"))
-    return out.select("seed", "top", "p.*").groupBy("seed", "node").agg(F.max("top").alias("top"), F.min("on").alias("on"))
+    met = _met(rows, "on", steps, hot)
+    may = "to IS NOT NULL AND (top IS NULL OR coalesce(level <= top, false))"
+    here, there = "named_struct('node', node, 'on', false)", "named_struct('node', to, 'on', true)"
+    out = met.selectExpr("seed", "top", f"inline(if({may}, array({here}, {there}), array({here})))")
+    return out.groupBy("seed", "node").agg(F.expr("max(top) AS top"), F.expr("min(on) AS on"))
+
+
+def _met(rows: DataFrame, if_: str, steps: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with the steps from their node, for rows that satisfy if_: the key of any other matches nothing. A node stands there
+    for many seeds, the links hold a hot node many times: the links' salt splits both."""
+    keyed = rows.selectExpr("*", f"if({if_}, node, concat('~', node)) AS _key")
+    return spread_out(keyed, hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
 
 
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -44,8 +48,8 @@ def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     before are dropped by an anti join, so cycles end and the number of steps is the longest shortest path. Hot nodes are
     salted.
     """
-    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
-    steps = staged(salted(links, hot.withColumnRenamed("_key", "node"), "node", ["to"]).withColumn("level", F.lit(None).cast("int")), "steps")
+    hot = hot_keys(links, "node")
+    steps = staged(salted(links, hot, "node", ["to"]).withColumn("level", F.lit(None).cast("int")), "steps")
     known = staged(seeds.select("seed", F.col("seed").alias("node")).filter(F.col("seed").isNotNull()).distinct(), "front")
     front = known
     while not front.isEmpty():
@@ -63,8 +67,8 @@ def levels(links: DataFrame) -> DataFrame:
 
     Nodes leave in the order of their level, HOPS levels a job, and their links with them: each link is followed once.
     """
-    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
-    steps = staged(salted(links, hot.withColumnRenamed("_key", "node"), "node", ["to"]), "steps")
+    hot = hot_keys(links, "node")
+    steps = staged(salted(links, hot, "node", ["to"]), "steps")
     waits = links.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("waits"))
     named = links.select("node").unionByName(links.select(F.col("to").alias("node"))).distinct()
     live = staged(named.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0).alias("level")).withColumn("new", F.col("waits") == 0), "live")
@@ -74,14 +78,11 @@ def levels(links: DataFrame) -> DataFrame:
         rows = live.withColumn("old", F.col("waits") == 0)
         for _ in range(HOPS):
             at += 1
-            key = F.when(F.col("new"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("node")))
-            met = spread_out(rows.withColumn("_key", key), hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
-            own = F.struct("node", "waits", "level", "old", (F.col("waits") == 0).alias("was"), F.lit(0).cast("bigint").alias("told"))
-            none = {"waits": "bigint", "level": "int", "old": "boolean", "was": "boolean"}
-            told = F.struct(F.col("to").alias("node"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(1).cast("bigint").alias("told"))
-            both = met.select(F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, told))).alias("m")).select("m.*")
-            rows = both.groupBy("node").agg((F.max("waits") - F.sum("told")).alias("waits"), F.max("level").alias("_l"), F.max("old").alias("old"), F.max("was").alias("was"))
-            rows = rows.withColumn("new", (F.col("waits") == 0) & ~F.col("was")).select("node", "waits", F.when(F.col("new"), at).otherwise(F.col("_l")).alias("level"), "new", "old")
+            own = "named_struct('node', node, 'waits', waits, 'level', level, 'old', old, 'was', waits = 0, 'told', 0L)"
+            told = "named_struct('node', to, 'waits', bigint(NULL), 'level', int(NULL), 'old', boolean(NULL), 'was', boolean(NULL), 'told', 1L)"
+            both = _met(rows, "new", steps, hot).selectExpr(f"inline(if(to IS NULL, array({own}), array({own}, {told})))")
+            rows = both.groupBy("node").agg(F.expr("max(waits) - sum(told) AS waits"), F.expr("max(level) AS level"), F.expr("max(old) AS old"), F.expr("max(was) AS was"))
+            rows = rows.selectExpr("node", "waits", "waits = 0 AND NOT was AS new", f"if(waits = 0 AND NOT was, {at}, level) AS level", "old")
         rows = staged(rows, "peeled")
         done.append(rows.filter("waits = 0 AND NOT old"))
         live = rows.filter("waits > 0 OR new").drop("old")
@@ -106,9 +107,9 @@ def closing(candidates: DataFrame, links: DataFrame) -> DataFrame:
     can = F.col("_s") & F.col("_t") & (F.col("source") != F.col("target")) & (F.col("high").isNull() | (F.coalesce(F.col("low") < F.col("high"), F.lit(False))))
     open_ = staged(placed.filter(can).select("source", "target", "high"), "open")
     hits = [candidates.sparkSession.createDataFrame([], "source string, target string")]
-    hot = hot_keys(links, "node").withColumnRenamed("node", "_key")
+    hot = hot_keys(links, "node")
     ranked = links.join(level.select(F.col("node").alias("to"), "level"), "to")
-    steps = staged(salted(ranked, hot.withColumnRenamed("_key", "node"), "node", ["to"]), "steps")
+    steps = staged(salted(ranked, hot, "node", ["to"]), "steps")
     known = None
     front = _wanted(open_).withColumn("node", F.col("seed"))
     while not open_.isEmpty():

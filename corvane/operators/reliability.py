@@ -15,7 +15,7 @@ from corvane.session import staged
 
 EXPIRED = 0.1
 #: Rounds of relaxation, or steps along a path, in one job.
-ROUNDS = 5
+ROUNDS = 8
 
 
 def evidence_scores(evidence: DataFrame, at: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def reliability(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at
     edges = staged(salted(links, hot, "dep", ["id"]), "edges")
     settled = [_worth(live.filter("waits = 0"))]
     while not live.filter("new").isEmpty():
-        rows = live
+        rows = live.selectExpr("*", "waits = 0 AS old")
         for _ in range(ROUNDS):
             rows = _told(rows, edges, hot)
         rows = staged(rows, "told")
@@ -80,25 +80,21 @@ def _worth(rows: DataFrame) -> DataFrame:
     return rows.select("id", "self_score", F.least("self_score", "best").alias("r"))
 
 
-def _told(rows: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
-    """One level: new nodes tell those that rest on them. Each row is read once, so the plan grows by a join and an
-    aggregate a level; only rows that have something to tell meet links. `old`: settled before this job."""
+def _told(rows: DataFrame, edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """One level: new nodes tell those that rest on them. rows: id, self_score, best, waits (unsettled dependencies), new, old
+    (settled before this job). Each row is read once, so the plan grows by a join and an aggregate a level; only rows that
+    have something to tell meet links."""
     # The key of a row that is silent matches nothing.
-    was = F.col("old") if "old" in rows.columns else (F.col("waits") == 0)
-    telling = rows.withColumn("old", was).withColumn("dep", F.when(F.col("new"), F.col("id")).otherwise(F.concat(F.lit("~"), F.col("id"))))
-    met = spread_out(telling, hot, "dep").join(edges.withColumnRenamed("id", "to"), ["dep", "_salt"], "left")
-    kind = "struct<id:string,self_score:double,best:double,waits:bigint,told:bigint,old:boolean,was:boolean>"
-    value = F.greatest(F.lit(0.0), F.least("self_score", "best") - F.col("pen"))
-    message = F.struct(F.col("to").alias("id"), F.lit(None).cast("double").alias("self_score"), value.alias("best"), F.lit(None).cast("bigint").alias("waits"), F.lit(1).cast("bigint").alias("told"), F.lit(None).cast("boolean").alias("old"), F.lit(None).cast("boolean").alias("was"))
-    own = F.struct("id", "self_score", "best", "waits", F.lit(0).cast("bigint").alias("told"), "old", (F.col("waits") == 0).alias("was"))
-    both = F.when(F.col("to").isNull(), F.array(own.cast(kind))).otherwise(F.array(own.cast(kind), message.cast(kind)))
-    # A hot node's row comes once per salt and once per link; all of its own columns are the same there.
-    grouped = met.select(F.explode(both).alias("m")).select("m.*").groupBy("id").agg(
-        F.max("self_score").alias("self_score"), F.min("best").alias("best"), (F.max("waits") - F.sum("told")).alias("waits"), F.max("old").alias("old"), F.max("was").alias("was"))
-    return grouped.select("id", "self_score", "best", "waits", ((F.col("waits") == 0) & ~F.col("was")).alias("new"), "old")
-
-
-def _cyclic(open_: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    met = spread_out(rows.selectExpr("*", "if(new, id, concat('~', id)) AS dep"), hot, "dep").join(edges.withColumnRenamed("id", "to"), ["dep", "_salt"], "left")
+    # A row comes once per salt and once per link; all of its own columns are the same there.
+    own = "named_struct('id', id, 'self_score', self_score, 'best', best, 'waits', waits, 'told', 0L, 'old', old, 'was', waits = 0)"
+    told = "named_struct('id', to, 'self_score', double(NULL), 'best', greatest(0D, least(self_score, best) - pen), 'waits', bigint(NULL), 'told', 1L, 'old', boolean(NULL), 'was', boolean(NULL))"
+    both = met.selectExpr(f"inline(if(to IS NULL, array({own}), array({own}, {told})))")
+    grouped = both.groupBy("id").agg(F.expr("max(self_score) AS self_score"), F.expr("min(best) AS best"), F.expr("max(waits) - sum(told) AS waits"), F.expr("max(old) AS old"), F.expr("max(was) AS was"))
+    return grouped.selectExpr("id", "self_score", "best", "waits", "waits = 0 AND NOT was AS new", "old")
+
+
+def _cyclic(open_: DataFrame, edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Values of the nodes that reach a cycle, by their simple paths among one another. open_: id, self_score, and own, the least
     of the self score and of what the settled dependencies leave; edges: dep, _salt, id, pen among them."""
     open_ = staged(open_, "open")
@@ -109,15 +105,13 @@ def _cyclic(open_: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
 
     def extended(rows: DataFrame) -> DataFrame:
         """Each open path by one step; a closed one as it is, joined by a key of its own that matches nothing."""
-        own = F.when(F.col("on"), F.col("node")).otherwise(F.concat(F.lit("~"), F.col("root")))
         # A hot node's row goes to every salt; where it meets no step it ends as it is, which changes no minimum.
-        step = spread_out(rows.withColumn("_key", own), hot_from, "_key").join(ends, ["_key", "_salt"], "left")
-        hit, lost, back = F.col("dep").isNotNull(), F.col("lost") + F.col("pen"), F.array_contains("path", F.col("dep"))
-        worth = F.when(back, F.lit(1.0)).otherwise(F.col("_own")) - lost
-        on = hit & ~back & (lost < 1.0 - 1e-9)
-        return step.select(
-            "root", F.coalesce("dep", "node").alias("node"), F.when(on, F.concat("path", F.array("dep"))).otherwise(F.col("path")).alias("path"), F.coalesce(lost, "lost").alias("lost"),
-            F.when(hit, F.least("best", F.greatest(F.lit(0.0), worth))).otherwise(F.col("best")).alias("best"), F.coalesce(on, F.lit(False)).alias("on"),
+        step = spread_out(rows.selectExpr("*", "if(on, node, concat('~', root)) AS _key"), hot_from, "_key").join(ends, ["_key", "_salt"], "left")
+        step = step.selectExpr("*", "dep IS NOT NULL AS _hit", "coalesce(array_contains(path, dep), false) AS _back", "lost + coalesce(pen, 0D) AS _lost")
+        step = step.selectExpr("*", "_hit AND NOT _back AND _lost < 1 - 1e-9 AS _on", "greatest(0D, if(_back, 1D, _own) - _lost) AS _worth")
+        return step.selectExpr(
+            "root", "coalesce(dep, node) AS node", "if(_on, concat(path, array(dep)), path) AS path", "_lost AS lost",
+            "if(_hit, least(best, _worth), best) AS best", "_on AS on",
         )
 
     front = open_.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("lost"), F.col("own").alias("best"), F.lit(True).alias("on"))

@@ -30,22 +30,28 @@ def salted_join(large: DataFrame, keyed: DataFrame, on: str, weight: str, spread
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
-def hot_keys(large: DataFrame, on: str) -> DataFrame:
-    """on, _salts for the hot keys of large: at most 1 / HOT_SHARE rows. large is read once; to salt several joins alike."""
+def hot_keys(large: DataFrame, on: str) -> DataFrame | None:
+    """on, _salts for the hot keys of large: at most 1 / HOT_SHARE rows; None if there are none. large is read once; to salt
+    several joins alike."""
     rows = Observation()
     counts = large.groupBy(on).agg(F.count("*").alias("_n")).observe(rows, F.sum("_n").alias("total"))
     heavy = staged(counts.filter(F.col("_n") > MIN_ROWS), "hot")
     limit = max(MIN_ROWS, int((rows.get.get("total") or 0) * HOT_SHARE))
-    return heavy.filter(F.col("_n") > limit).select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    hot = heavy.filter(F.col("_n") > limit)
+    return None if hot.isEmpty() else hot.select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
 
 
-def salted(large: DataFrame, hot: DataFrame, on: str, spread: list[str]) -> DataFrame:
+def salted(large: DataFrame, hot: DataFrame | None, on: str, spread: list[str]) -> DataFrame:
     """large with `_salt`, for joins on (on, _salt) with spread_out()."""
+    if hot is None:
+        return large.selectExpr("*", "0 AS _salt")
     pick = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))
-    return large.join(F.broadcast(hot), on, "left").withColumn("_salt", pick).drop("_salts")
+    return large.join(F.broadcast(hot.withColumnRenamed(hot.columns[0], on)), on, "left").withColumn("_salt", pick).drop("_salts")
 
 
-def spread_out(keyed: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+def spread_out(keyed: DataFrame, hot: DataFrame | None, on: str) -> DataFrame:
     """keyed with one row per salt of its key."""
+    if hot is None:
+        return keyed.selectExpr("*", "0 AS _salt")
     last = F.coalesce(F.col("_salts") - 1, F.lit(0))
-    return keyed.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+    return keyed.join(F.broadcast(hot.withColumnRenamed(hot.columns[0], on)), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
