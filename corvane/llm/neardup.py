@@ -19,18 +19,19 @@ THRESHOLD = 0.7
 RECALL = 0.999
 #: Members of a band bucket that are paired one by one; larger buckets go block against block.
 BUCKET = 64
-BLOCK = 512
+#: Members, and bytes of sketches, of one block.
+BLOCK, BLOCK_BYTES = 1_024, 1 << 22
 DOCS_AT_ONCE = 2_000
 
 
-def bands_and_rows(n: int, threshold: float, recall: float, background: float = 0.1) -> tuple[int, int]:
+def bands_and_rows(n: int, threshold: float, recall: float, background: float = 0.1, chance: float = 0.1) -> tuple[int, int]:
     """Bands and rows for a collection of n sets.
 
-    Rows: as many as keep the chance partners of a set few, n * background**rows being 1/100, where background is the
-    similarity of unrelated sets; so rows grow with log n and the candidates in proportion to n. Bands: as many as find a
+    Rows: as many as keep the chance partners of a set in a band few, n * background**rows being `chance`, where background is
+    the similarity of unrelated sets; so rows grow with log n and the candidates in proportion to n. Bands: as many as find a
     pair exactly at the threshold with the target recall; pairs above it are found more surely.
     """
-    rows = max(4, math.ceil(math.log(max(n, 1) * 100) / -math.log(background)))
+    rows = max(4, math.ceil(math.log(max(n, 1) / chance) / -math.log(background) - 1e-9))
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
@@ -128,39 +129,119 @@ def _closed(k, c, paired, overflow):
         yield pairs
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A set of 64-bit hashes as a bit map: a bit per hash modulo a power of two, some 8 times the size of the set. Maps of other
+    lengths are made comparable by folding the longer one."""
+    width = max(256, 1 << int(8 * max(len(tokens), 1) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[_mixed(tokens.view(np.uint64)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def sketches(classes: DataFrame) -> DataFrame:
+    """class, size, bits of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            bits = [sketch(flat[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bits, pa.binary())], names=["class", "size", "bits"])
+
+    return classes.select("class", "tokens").mapInArrow(run, "class long, size int, bits binary")
+
+
+def _maps(bits: list[bytes], words: int) -> np.ndarray:
+    """Bit maps of equal length as rows of 64-bit words, folded to `words`."""
+    m = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+    while m.shape[1] > words:
+        # The low bits of a hash choose the place, so the halves lie on each other.
+        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+    return m
+
+
+def _may(size_a: np.ndarray, set_a: np.ndarray, size_b: np.ndarray, set_b: np.ndarray, both: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets can reach the threshold. A bit set in one map and not in the other stands for a member at least that the
+    other lacks, so the common members are at most the size less those bits: no pair that reaches it is lost."""
+    common = np.minimum(size_a - (set_a - both), size_b - (set_b - both))
+    return common >= threshold * (size_a + size_b - common) - 1e-9
+
+
+def may_reach(size_a: np.ndarray, bits_a: list[bytes], size_b: np.ndarray, bits_b: list[bytes], threshold: float) -> np.ndarray:
+    """_may() for pairs given side by side."""
+    out = np.zeros(len(size_a), bool)
+    long_a, long_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bits_a, bits_b))
+    code = long_a * (long_b.max(initial=0) + 1) + long_b
+    for c in np.unique(code):
+        i = np.flatnonzero(code == c)
+        words = int(min(long_a[i[0]], long_b[i[0]])) // 8
+        a, b = _maps([bits_a[k] for k in i], words), _maps([bits_b[k] for k in i], words)
+        counts = [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b, a & b)]
+        out[i] = _may(size_a[i], counts[0], size_b[i], counts[1], counts[2], threshold)
+    return out
+
+
 def _block_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """All pairs of one block against another that reach the threshold, by a product of 0/1 matrices."""
-    codes, _ = pd.factorize(np.concatenate(pdf["tokens"].to_numpy()))
-    size = pdf["tokens"].map(len).to_numpy()
-    x = np.zeros((len(pdf), codes.max() + 1), np.float32)
-    x[np.repeat(np.arange(len(pdf)), size), codes] = 1
-    side, cls = pdf["side"].to_numpy(), pdf["class"].to_numpy()
-    p, q = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    both = x[p] @ x[q].T
-    i, j = np.nonzero((both >= threshold * (size[p][:, None] + size[q][None] - both) - 1e-3) & (cls[p][:, None] < cls[q][None] if (side == 2).any() else cls[p][:, None] != cls[q][None]))
-    a, b = cls[p[i]], cls[q[j]]
+    """Of one block against another, or against itself, the pairs that can reach the threshold. A row per block: lists of class,
+    size and bits. A row of the one against all of the other at a time: memory is that of the blocks."""
+    x, y = pdf.iloc[0], pdf.iloc[-1]
+    left, right = [], []
+    long_y = np.array([len(v) for v in y["bits"]])
+    class_x, class_y, size_x, size_y = (np.asarray(v, np.int64) for v in (x["class"], y["class"], x["size"], y["size"]))
+    for length in np.unique(long_y):
+        js = np.flatnonzero(long_y == length)
+        folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i in range(len(class_x)):
+            words = min(len(x["bits"][i]), int(length)) // 8
+            if words not in folded:
+                m = _maps([y["bits"][j] for j in js], words)
+                folded[words] = m, np.bitwise_count(m).sum(1, dtype=np.int64)
+            m, set_y = folded[words]
+            own = _maps([x["bits"][i]], words)
+            both = np.bitwise_count(m & own).sum(1, dtype=np.int64)
+            ok = _may(size_x[i], np.bitwise_count(own).sum(), size_y[js], set_y, both, threshold)
+            hit = js[ok & ((class_y[js] > class_x[i]) if len(pdf) == 1 else (class_y[js] != class_x[i]))]
+            left.append(np.full(len(hit), class_x[i])), right.append(class_y[hit])
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _crowded(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of buckets too large to pair one by one: exact, in blocks of BLOCK members.
+def _crowded(members: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of buckets too large to pair one by one: exact, in blocks of sketches.
 
-    A bucket is cut into blocks by a hash of the member; each pair of blocks is one small task input that compares in
-    place, so no task sees the bucket and only pairs that reach the threshold leave it. Buckets of several bands with
-    the same members are compared once.
+    A bucket is cut into blocks by a hash of the member, few enough in number that a block has some BLOCK members and
+    BLOCK_BYTES; each pair of blocks is one small task input that compares sketches in place, so no task sees the bucket,
+    no set is copied, and only pairs that can reach the threshold leave it. Buckets of several bands with the same
+    members are compared once.
     """
     members = staged(members, "crowded")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"), F.min("class").alias("least"))
-    one = staged(buckets.groupBy("n", "who", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"), "buckets")
-    placed = salted_join(members, one, "key", "n", ["class"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class",
-        F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
-    )
-    units = units.join(classes.select("class", "tokens"), "class")
+    often = staged(members.groupBy("class").agg(F.count("*").alias("_w")).join(maps, "class"), "often")
+    placed = staged(salted_join(members, often, "class", "_w", ["key"]), "placed")
+    buckets = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("bits")).alias("_bytes"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"), F.min("class").alias("least"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("_bytes") / BLOCK_BYTES)).cast("int")
+    one = staged(buckets.groupBy("n", "who", "least").agg(F.min("key").alias("key"), F.max(blocks).alias("blocks")).select("key", "blocks", "n"), "buckets")
+    own = salted_join(placed, one, "key", "n", ["class"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    packed = own.groupBy("key", "own").agg(*[F.collect_list(c).alias(c) for c in ("class", "size", "bits")], F.max("blocks").alias("blocks"))
+    units = staged(packed, "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "size", "bits")
     return units.groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, threshold), "a long, b long")
 
 
+def _kept(pairs: DataFrame, maps: DataFrame, hot_a: DataFrame | None, hot_b: DataFrame | None, threshold: float) -> DataFrame:
+    """The candidate pairs whose sketches can reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 4)], [batch.column(k).to_pylist() for k in (3, 5)]
+            ok = pa.array(may_reach(sizes[0], bits[0], sizes[1], bits[1], threshold))
+            yield batch.select([0, 1]).filter(ok)
+
+    a = spread_out(maps.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba")), hot_a, "a")
+    b = spread_out(maps.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")), hot_b, "b")
+    joined = salted(pairs, hot_a, "a", ["b"]).join(a, ["a", "_salt"]).drop("_salt")
+    joined = salted(joined, hot_b, "b", ["a"]).join(b, ["b", "_salt"]).drop("_salt")
+    return joined.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
+
+
 def similar(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """a < b, similarity: the pairs of classes whose token sets have a Jaccard similarity of threshold or more.
 
@@ -176,10 +257,12 @@ def similar(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     out = staged(bucketed.mapInArrow(_pairs, "key long, a long, b long"), "buckets")
     pairs = out.filter(F.col("b").isNotNull()).select("a", "b")
     crowd = out.filter(F.col("b").isNull()).select("key", F.col("a").alias("class"))
+    maps = staged(sketches(filled), "sketches")
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_crowded(crowd, classes, threshold))
+        pairs = pairs.unionByName(_crowded(crowd, maps, threshold))
     pairs = staged(pairs.distinct(), "pairs")
     hot_a, hot_b = hot_keys(pairs, "a"), hot_keys(pairs, "b")  # a text with a great many partners
+    pairs = staged(_kept(pairs, maps, hot_a, hot_b, threshold), "kept")
     left = spread_out(classes.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), hot_a, "a")
     right = spread_out(classes.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), hot_b, "b")
     joined = salted(pairs, hot_a, "a", ["b"]).join(left, ["a", "_salt"]).drop("_salt")
@@ -204,7 +287,7 @@ def holon_classes(holons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     words = F.array_sort(F.transform(word_set(F.col("title"), F.col("content")), lambda w: F.xxhash64(w)))
     rows = holons.select(key(F.col("id")).alias("id"), F.struct("updated_at", words.alias("tokens")).alias("s")).filter(F.col("id").isNotNull())
-    code = F.substring(F.sha2(F.array_join(F.col("s.tokens"), ","), 256), 1, 32).alias("code")
+    code = F.struct(F.xxhash64("s.tokens").alias("x"), F.xxhash64(F.lit(1), "s.tokens").alias("y")).alias("code")
     one = staged(rows.groupBy("id").agg(F.max("s").alias("s")).select("id", code, F.col("s.tokens").alias("tokens")), "holons")
     grouped = one.groupBy("code").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
     classes = staged(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")

@@ -75,6 +75,40 @@ def test_streamed_pairs_across_batches():
     assert pairs == {(int(a), int(b)) for k in size if size[k] <= neardup.BUCKET for a in cls[keys == k] for b in cls[keys == k] if a < b}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sketches_lose_no_pair(seed):
+    rng = np.random.default_rng(seed)
+    a, b = [], []
+    for _ in range(300):
+        n = int(rng.choice([1, 3, 20, 60, 70, 500, 3000]))
+        x = rng.integers(-(2**62), 2**62, n)
+        y = x[rng.random(n) < rng.choice([0.6, 0.7, 0.8, 1.0])]
+        a.append(x), b.append(np.concatenate([y, rng.integers(-(2**62), 2**62, int(rng.integers(0, n // 5 + 2)))]))
+    sizes = [np.array([len(v) for v in s]) for s in (a, b)]
+    may = neardup.may_reach(sizes[0], [neardup.sketch(v) for v in a], sizes[1], [neardup.sketch(v) for v in b], 0.7)
+    both = np.array([len(np.intersect1d(x, y)) for x, y in zip(a, b)])
+    true = both >= 0.7 * (sizes[0] + sizes[1] - both) - 1e-9
+    assert may[true].all() and 0.05 < true.mean() < 0.95 and may[~true].mean() < 0.5
+
+
+def test_crowded_blocks_are_small():
+    """1,024 long texts with most words their own: sketches, not sets, are compared."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**62, 1600)
+    sets = [np.concatenate([common, rng.integers(0, 2**62, 400)]) for _ in range(1024)]
+    bits = [neardup.sketch(v) for v in sets]
+    rows = [{"class": list(range(k, k + 512)), "size": [2000] * 512, "bits": bits[k : k + 512]} for k in (0, 512)]
+    tracemalloc.start()
+    got = neardup._block_pairs(pd.DataFrame(rows), 0.7)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert len(got) == 0 or len(got) <= 512 * 512  # 1,600 of 2,400 words are common: under 0.7
+
+
 def test_groups(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_ROWS", 1)
     nodes = spark.createDataFrame([(i,) for i in range(30)], "node long")
