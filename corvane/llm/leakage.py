@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.session import staged
@@ -16,8 +17,10 @@ from corvane.sources.tables import table
 LEAST_WORDS = 12
 #: Words of documents in one suffix array. A longer document makes an array of its own.
 SHARD_WORDS = 1_500_000
-#: Characters of test items searched in one pass; more items take more passes.
+#: Characters of test items searched at once.
 ITEM_CHARS = 4_000_000
+#: The map of all items' passages has two to the power of so many bits.
+FILTER_BITS = 27
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
 
@@ -61,13 +64,16 @@ class Items:
         self.codes, self.starts = np.array(codes, np.int64), np.array(starts, np.int64)
         self.item, self.place, self.longest = np.array(item, np.int64), np.array(place, np.int64), longest
 
-    def search(self, text: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Maximal matches in a shard: item, place in the item, position in text, length in words.
+    def search(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The longest match of each document of a shard with each item: document, item, place in the item, position in text,
+        length in words; of several the earliest in the document, then in the item.
 
-        text: codes of the shard's words, 0 for a word no item has and between documents. Only suffixes that begin with
-        `least` words of the vocabulary can match, so only stretches of such words enter the suffix array.
+        text: codes of the shard's words, 0 for a word no item has and between documents; begins: where each document
+        begins. Only suffixes that begin with `least` words of the vocabulary can match, so only stretches of such words
+        enter the suffix array. Occurrences are never paired with one another: of a phrase that a text repeats and many
+        items share, each item meets the text once.
         """
-        none = (np.empty(0, np.int64),) * 4
+        none = (np.empty(0, np.int64),) * 5
         known = np.concatenate([[False], text != 0, [False]])
         edge = np.flatnonzero(known[1:] != known[:-1])
         begin, end = edge[::2], edge[1::2]
@@ -82,38 +88,83 @@ class Items:
         rank = ranks(codes, self.longest)
         suffix = np.flatnonzero(left >= self.least)
         suffix = suffix[np.argsort(rank[suffix], kind="stable")]
-        low, high = self._bounds(codes, suffix, False), self._bounds(codes, suffix, True)
+        low, high = (self._bounds(codes, suffix, self.starts, self.least, after) for after in (False, True))
         hit = np.flatnonzero(high > low)
         if not len(hit):
             return none
-        many = (high - low)[hit]
-        window = np.repeat(hit, many)
-        entry = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        where = at[suffix[entry]]
-        # Matches that continue one another lie on one diagonal of (test suffix, position).
-        order = np.lexsort((where, where - self.starts[window]))
-        window, where = window[order], where[order]
-        diagonal = where - self.starts[window]
-        first = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (where[1:] != where[:-1] + 1) | (self.item[window[1:]] != self.item[window[:-1]])])
-        head = np.flatnonzero(first)
-        length = np.diff(np.append(head, len(where))) + self.least - 1
-        return self.item[window[head]], self.place[window[head]], where[head], length
-
-    def _bounds(self, codes: np.ndarray, suffix: np.ndarray, after: bool) -> np.ndarray:
+        # A range of the suffix array per passage of `least` words: they are disjoint, so their entries are at most the text.
+        ranges, which = np.unique(low[hit], return_inverse=True)
+        until = np.zeros(len(ranges), np.int64)
+        until[which] = high[hit]
+        many = until - ranges
+        entry = np.repeat(ranges - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        doc = np.searchsorted(begins, at[suffix[entry]], side="right") - 1
+        # Which document holds which passage at all, and, by that, the test suffixes to compare with each document.
+        pair = np.unique(np.repeat(np.arange(len(ranges)), many) * len(begins) + doc)
+        part, held = np.divmod(pair, len(begins))
+        by_part = np.argsort(which, kind="stable")
+        count = np.bincount(which, minlength=len(ranges))
+        each = count[part]
+        window = hit[by_part[np.repeat((np.cumsum(count) - count)[part] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())]]
+        held = np.repeat(held, each)
+        # Of a document's suffixes, the one before and the one after the test suffix have the longest match with it.
+        size = len(suffix) + 1
+        place = doc * size + entry
+        order = np.argsort(place)
+        place, where = place[order], at[suffix[entry]][order]
+        full = np.zeros(len(self.starts), np.int64)
+        full[hit] = self._bounds(codes, suffix, self.starts[hit], self.longest, False)
+        next_ = np.searchsorted(place, held * size + full[window])
+        length = np.zeros(len(window), np.int64)
+        for side in (next_ - 1, next_):
+            ok = (side >= 0) & (side < len(place))
+            ok[ok] = place[side[ok]] // size == held[ok]
+            near = suffix[place[side[ok]] % size]
+            length[ok] = np.maximum(length[ok], self._common(codes, near, self.starts[window[ok]]))
+        # The longest of each document and item, there the earliest in the document, then in the item.
+        item = self.item[window]
+        order = np.lexsort((-length, item, held))
+        window, held, item, length = window[order], held[order], item[order], length[order]
+        first = np.concatenate([[True], (held[1:] != held[:-1]) | (item[1:] != item[:-1])])
+        best = length == length[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        window, held, item, length = window[best], held[best], item[best], length[best]
+        low, high = (self._bounds(codes, suffix, self.starts[window], length, after) for after in (False, True))
+        span = np.stack([np.searchsorted(place, held * size + low), np.searchsorted(place, held * size + high)], 1).reshape(-1)
+        earliest = np.minimum.reduceat(np.append(where, len(text)), span)[::2]
+        order = np.lexsort((self.place[window], earliest, item, held))
+        window, held, item, length, earliest = window[order], held[order], item[order], length[order], earliest[order]
+        first = np.concatenate([[True], (held[1:] != held[:-1]) | (item[1:] != item[:-1])])
+        return held[first], item[first], self.place[window[first]], earliest[first], length[first]
+
+    def _bounds(self, codes: np.ndarray, suffix: np.ndarray, starts: np.ndarray, depth: int | np.ndarray, after: bool) -> np.ndarray:
         """For each test suffix the first entry of the suffix array that does not sort before it, or (after) sorts behind
-        it, compared by the first `least` words: all binary searches advance together."""
-        low, high = np.zeros(len(self.starts), np.int64), np.full(len(self.starts), len(suffix), np.int64)
+        it, compared by the first `depth` words: all binary searches advance together."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(suffix), np.int64)
+        depth = np.broadcast_to(depth, len(starts))
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            a, b = suffix[mid], self.starts[open_]
             order = np.zeros(len(open_), np.int64)
-            for t in range(self.least):
-                order = np.where(order == 0, np.sign(codes[a + t] - self.codes[b + t]), order)
+            live = np.arange(len(open_))
+            for t in range(int(depth[open_].max())):
+                a, b = codes[suffix[mid[live]] + t], self.codes[starts[open_[live]] + t]
+                order[live] = np.sign(a - b)
+                live = live[(a == b) & (a != 0) & (depth[open_[live]] > t + 1)]
+                if not live.size:
+                    break
             down = order <= 0 if after else order < 0
             low[open_] = np.where(down, mid + 1, low[open_])
             high[open_] = np.where(down, high[open_], mid)
         return low
 
+    def _common(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words the text at a and the items at b have in common from there on."""
+        out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        while live.size:
+            x, y = codes[a[live] + out[live]], self.codes[b[live] + out[live]]
+            live = live[(x == y) & (x != 0)]
+            out[live] += 1
+        return out
+
 
 def _shards(items: Items, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +174,8 @@ def _shards(items: Items, shard_words: int):
         get = items.code.get
 
         def flush() -> Iterator[pa.RecordBatch]:
-            begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            item, place, where, length = items.search(np.concatenate(texts))
-            doc = np.searchsorted(begin, where, side="right") - 1
-            # The longest match of each document and item; of several, the earliest in the document, then in the item.
-            order = np.lexsort((place, where, -length, item, doc))
-            doc, item, place, where, length = doc[order], item[order], place[order], where[order], length[order]
-            first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])[: len(doc)]
-            doc, item, place, where, length = doc[first], item[first], place[first], where[first], length[first]
+            begin = np.cumsum([0] + [len(t) for t in texts[:-1]]).astype(np.int64)
+            doc, item, place, where, length = items.search(np.concatenate(texts), begin)
             columns = [pa.array([ids[d] for d in doc], pa.int64()), pa.array(item), pa.array(length.astype(np.int32)), pa.array((where - begin[doc]).astype(np.int32)), pa.array(place.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "match_words", "doc_word", "item_word"])
 
@@ -152,21 +197,63 @@ def _shards(items: Items, shard_words: int):
     return run
 
 
+def passage_hashes(hashes: np.ndarray, least: int) -> np.ndarray:
+    """A hash for each `least` consecutive words, from the words' hashes."""
+    n = len(hashes) - least + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for t in range(least if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[t : t + n]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)
+
+
+def _suspects(documents: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """doc_id, text of the documents that may hold a passage of any item; bits: a map of the hashes of all items' passages.
+    None that holds one is missed."""
+    data = np.packbits(bits).tobytes()  # 2 ** FILTER_BITS / 8 bytes, whatever the number of items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cache = np.unpackbits(np.frombuffer(data, np.uint8)), {}
+        for batch in batches:
+            keep = []
+            for text in batch.column(1):
+                found = words(text.as_py())
+                if len(cache) > 1_000_000:
+                    cache.clear()
+                for w in set(found) - cache.keys():
+                    cache[w] = xxhash.xxh64_intdigest(w)
+                keep.append(bool(known[passage_hashes(np.array([cache[w] for w in found], np.uint64), least)].any()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def matches(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, match_words, doc_word, item_word: each document with each item of which it holds at least `least`
     consecutive words, the length of the longest such passage and where it begins, in words, in either.
 
     Each task builds suffix arrays over shards of its documents and binary-searches every suffix of every item in them;
-    documents are read once, whole, and never shuffled. Items are sent to the tasks in blocks of bounded size, one pass
-    per block. A null or short text, and a null or short body, match nothing; every copy of a document is reported.
+    documents are read once, whole, and never shuffled. Items are sent to the tasks in blocks of bounded size. Where there
+    are several blocks, one pass over the documents with a map of the hashes of all passages leaves those that may hold
+    one, and only these are read again per block. A null or short text, and a null or short body, match nothing; every
+    copy of a document is reported.
     """
     chars = eval_items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = -(-chars // ITEM_CHARS) or 1
+    texts = documents.select("doc_id", "text")
+
+    def block(b: int) -> list[tuple[int, str | None]]:
+        part = eval_items if blocks == 1 else eval_items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        return [(r[0], r[1]) for r in part.select("item_id", "body").filter(F.col("item_id").isNotNull()).distinct().sort("item_id").collect()]
+
+    if blocks > 1:
+        bits = np.zeros(1 << FILTER_BITS, np.uint8)
+        for b in range(blocks):
+            for _, body in block(b):
+                bits[passage_hashes(np.array([xxhash.xxh64_intdigest(w) for w in words(body)], np.uint64), least)] = 1
+        texts = staged(_suspects(texts, bits, least), "suspects")
     found = None
     for b in range(blocks):
-        part = eval_items if blocks == 1 else eval_items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = [(r[0], r[1]) for r in part.select("item_id", "body").filter(F.col("item_id").isNotNull()).distinct().sort("item_id").collect()]
-        one = documents.select("doc_id", "text").mapInArrow(_shards(Items(rows, least), shard_words), MATCHES)
+        one = texts.mapInArrow(_shards(Items(block(b), least), shard_words), MATCHES)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -52,7 +52,21 @@ def test_a_match_does_not_cross_documents(spark):
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_CHARS", 60)
     items = [(i, " ".join(f"v{i}x{k}" for k in range(12))) for i in range(6)]
-    assert found(spark, [(i, b) for i, b in items], items) == {(i, i): 12 for i in range(6)}
+    other = [(100 + i, " ".join(f"v{i}x{k}" for k in range(11)) + " else") for i in range(6)] + [(200, None), (201, "")]
+    assert found(spark, [(i, b) for i, b in items] + other, items) == {(i, i): 12 for i in range(6)}
+
+
+def test_looped_text_meets_each_item_once():
+    import tracemalloc
+
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = leakage.Items([(i, f"own{i} {phrase} {phrase} end{i}") for i in range(200)], 12)
+    text = np.array([items.code[w] for w in phrase.split()] * 10_000 + [0], np.int64)
+    tracemalloc.start()
+    doc, item, place, where, length = items.search(text, np.array([0]))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert sorted(item) == list(range(200)) and set(length) == {24} and set(place) == {1} and set(where) == {0} and set(doc) == {0}
 
 
 def test_ranks():
