@@ -15,64 +15,99 @@ from corvane.sources.tables import table
 
 #: Links that one task solves at once: some 200 bytes each in pandas.
 BLOCK_ROWS = 150_000
+#: A level that leaves more than this share of its links is followed by doubling instead of another one.
+SHRINKS = 0.9
 SOLVED = "id string, top string, off long, low string, state string"
 
 
 def parent_links(holons: DataFrame) -> DataFrame:
-    """id, up: one row per distinct id; up is null where the parent is null, blank or no holon. Staged.
+    """id, up, near: one row per distinct id; up is null where the parent is null, blank or no holon; near is the context, in
+    which most links stay. Staged.
 
     Of an id's rows the one updated last gives the parent. Rows without an id are left out.
     """
-    rows = holons.select(key(F.col("id")).alias("id"), key(F.col("parent_id")).alias("up"), "updated_at").filter(F.col("id").isNotNull())
-    one = staged(rows.groupBy("id").agg(F.max(F.struct("updated_at", "up")).alias("s")).select("id", F.col("s.up").alias("up")), "nodes")
+    near = F.col("context_id") if "context_id" in holons.columns else F.lit(None).cast("string")
+    rows = holons.select(key(F.col("id")).alias("id"), key(F.col("parent_id")).alias("up"), "updated_at", near.alias("near")).filter(F.col("id").isNotNull())
+    one = staged(rows.groupBy("id").agg(F.max(F.struct("updated_at", "up", "near")).alias("s")).select("id", F.col("s.up").alias("up"), F.col("s.near").alias("near")), "nodes")
     child = one.filter(F.col("up").isNotNull())
     named = child.groupBy("up").agg(F.count("*").alias("children"))
     # Every parent that is named, the missing ones too: either kind may be hot.
     parents = staged(named.join(one.select(F.col("id").alias("up"), F.lit(True).alias("real")), "up", "left"), "parents")
-    linked = salted_join(child, parents, "up", "children", ["id"]).select("id", F.when(F.col("real"), F.col("up")).alias("up"))
+    linked = salted_join(child, parents, "up", "children", ["id"]).select("id", F.when(F.col("real"), F.col("up")).alias("up"), "near")
     return staged(linked.unionByName(one.filter(F.col("up").isNull())), "links")
 
 
 def solve_block(links: pd.DataFrame) -> pd.DataFrame:
     """A weighted disjoint-set forest over the links of one block.
 
-    links: id, up (null: id is a root), off (steps from id to up), low (smallest id among those steps). Every node gets
-    the top it hangs from and its offset: state root (top is a root, off the depth), open (top lies in another block) or
-    cycle (low is the smallest id on the cycle). Paths are compressed by doubling, so a chain of n links takes log n passes.
+    links: id, up (null: id is a root), off (steps from id to up), low (smallest id among those steps). A node starts as a
+    set of its own; a link hangs it below the representative of the set its upper end is in, with its offset to that, and
+    paths are compressed with their offsets as they are walked. A link whose upper end is already in the set below its
+    node closes a cycle. Every node gets the top it hangs from and its offset: state root (top is a root, off the depth),
+    open (top lies in another block) or cycle (low is the smallest id on the cycle).
     """
-    n = len(links)
-    ids = pd.Index(links["id"])
-    up = links["up"].to_numpy(dtype=object)
-    rootless = pd.isna(links["up"]).to_numpy()
-    step = ids.get_indexer(pd.Index(np.where(rootless, "", up)))
-    step[rootless] = -1
-    lows, rank = np.unique(links["low"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    local = step >= 0
-    here = np.arange(n)
-    jump = np.where(local, step, here)
-    off = np.where(local, links["off"].to_numpy(dtype=np.int64), 0)
-    low = rank.astype(np.int64)
-    window = np.where(local, low, len(lows))  # smallest rank among the nodes walked over so far
-    for _ in range(max(1, int(np.ceil(np.log2(n + 1))) + 1)):
-        moved = jump[jump]
-        off = off + off[jump]
-        window = np.minimum(window, window[jump])
-        if np.array_equal(moved, jump):
-            break
-        jump = moved
-    looped = local[jump]  # after more than n steps only a cycle still has a local link
-    end_root = rootless[jump] & ~looped
-    state = np.where(looped, "cycle", np.where(end_root, "root", "open"))
-    # The last local node of an open chain has its own link out of the block.
-    out_off = off + np.where(state == "open", links["off"].to_numpy(dtype=np.int64)[jump], 0)
-    out_low = np.where(state == "open", np.minimum(window, low[jump]), np.where(looped, window[jump], rank))
-    top = np.where(state == "open", up[jump], np.asarray(ids, dtype=object)[jump])
-    return pd.DataFrame({"id": links["id"].to_numpy(), "top": top, "off": np.where(looped, -1, out_off), "low": lows[out_low] if n else [], "state": state})
-
-
-def _solved(links: DataFrame, blocks: int, seed: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
-    return staged(links.withColumn("_block", block).groupBy("_block").applyInPandas(lambda pdf: solve_block(pdf), SOLVED), "forest")
+    ids, ups, offs, lows = (links[c].tolist() for c in ("id", "up", "off", "low"))
+    place = {x: i for i, x in enumerate(ids)}
+    n = len(ids)
+    above, steps, least = list(range(n)), [0] * n, list(lows)  # least: over the steps up to the representative
+    ring: dict[int, str] = {}
+
+    def find(x: int) -> int:
+        way = []
+        while above[x] != x:
+            way.append(x)
+            x = above[x]
+        for y in reversed(way):
+            up = above[y]
+            if up != x:
+                steps[y] += steps[up]
+                least[y] = min(least[y], least[up])
+                above[y] = x
+        return x
+
+    for x, up in enumerate(ups):
+        j = place.get(up) if isinstance(up, str) else None
+        if j is None:
+            continue
+        top = find(j)
+        low = lows[x] if j == top else min(lows[x], least[j])
+        if top == x:
+            ring[x] = low
+        else:
+            above[x], steps[x], least[x] = top, offs[x] + steps[j], low
+    rows = []
+    for x in range(n):
+        top = find(x)
+        if top in ring:
+            rows.append((ids[x], ids[top], -1, ring[top], "cycle"))
+        elif not isinstance(ups[top], str):
+            rows.append((ids[x], ids[top], steps[x], lows[x], "root"))
+        else:
+            rows.append((ids[x], ups[top], steps[x] + offs[top], lows[top] if x == top else min(least[x], lows[top]), "open"))
+    return pd.DataFrame(rows, columns=["id", "top", "off", "low", "state"])
+
+
+def _placed(links: DataFrame, count: int, block_rows: int, seed: int) -> DataFrame:
+    """links with `_block`, so that many of them have both ends in one block.
+
+    First by `near`: a context stays together, one larger than a block in pieces. Elsewhere, and inside a large context, a
+    coin is tossed for every id: a node with heads stays at its own place, one with tails goes to that of its upper end;
+    so a link from tails to heads is inside a block however many blocks there are, a quarter of all at least.
+    """
+    blocks = -(-count // block_rows)
+    heads = F.xxhash64("id", F.lit(seed)) % 2 == 0
+    mate = F.when(heads, F.col("id")).otherwise(F.coalesce("up", "id"))
+    if "near" not in links.columns:
+        return links.withColumn("_block", F.pmod(F.xxhash64(mate, F.lit(seed)), F.lit(blocks)).cast("int"))
+    # Contexts larger than half a block: at most two per block.
+    large = links.filter(F.col("near").isNotNull()).groupBy("near").agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows / 2)
+    large = staged(large.select("near", F.ceil(F.col("_n") * 2 / block_rows).cast("int").alias("_pieces")), "large")
+    piece = F.when(F.col("near").isNull(), F.xxhash64(mate, F.lit(seed))).when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(mate, F.lit(seed)), F.col("_pieces"))).otherwise(0)
+    return links.join(large, "near", "left").withColumn("_block", F.pmod(F.xxhash64("near", piece), F.lit(2 * blocks)).cast("int")).drop("near", "_pieces")
+
+
+def _solved(links: DataFrame) -> DataFrame:
+    return staged(links.groupBy("_block").applyInPandas(lambda pdf: solve_block(pdf), SOLVED), "forest")
 
 
 def _doubled(links: DataFrame, count: int) -> DataFrame:
@@ -105,10 +140,9 @@ def _doubled(links: DataFrame, count: int) -> DataFrame:
 def _resolved(links: DataFrame, block_rows: int, level: int = 0) -> DataFrame:
     """Rows as solve_block gives them, none open, for a closed set of staged links."""
     count = links.count()
-    blocks = -(-count // block_rows)
-    if blocks <= 1:
-        return _solved(links, 1, level)
-    local = _solved(links, blocks, level)
+    if count <= block_rows:
+        return _solved(links.withColumn("_block", F.lit(0)))
+    local = _solved(_placed(links, count, block_rows, level))
     still = local.filter(F.col("state") == "open")
     tops = staged(still.groupBy("top").agg(F.count("*").alias("_w")), "tops")
     # The next level has only the nodes that links of other blocks point to: a closed, smaller set of weighted links.
@@ -117,7 +151,7 @@ def _resolved(links: DataFrame, block_rows: int, level: int = 0) -> DataFrame:
     live = F.col("state") == "open"
     upper = staged(needed.select("id", F.when(live, F.col("top")).alias("up"), F.when(live, F.col("off")).otherwise(0).cast("long").alias("off"), "low"), "upper")
     size = upper.count()
-    above = staged(_resolved(upper, block_rows, level + 1) if size <= count * 0.7 else _doubled(upper, size), "above")
+    above = staged(_resolved(upper, block_rows, level + 1) if size <= count * SHRINKS else _doubled(upper, size), "above")
     known = needed.filter(~live).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("off").alias("_off"), F.col("low").alias("_low"), F.col("state").alias("_state"))
     above = _hung(above, known, "left")
     ends = above.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("off").alias("_off"), F.col("low").alias("_low"), F.col("state").alias("_state"))
@@ -140,28 +174,30 @@ def _hung(rows: DataFrame, ends: DataFrame, how: str) -> DataFrame:
 
 def forest(links: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, root_id, depth for links of parent_links(). On or below a cycle: depth -1, root_id the smallest id on it."""
-    weighted = staged(links.select("id", "up", F.lit(1).cast("long").alias("off"), F.col("id").alias("low")), "weighted")
+    weighted = staged(links.select("id", "up", F.lit(1).cast("long").alias("off"), F.col("id").alias("low"), "near"), "weighted")
     looped = F.col("state") == "cycle"
     return _resolved(weighted, block_rows).select("id", F.when(looped, F.col("low")).otherwise(F.col("top")).alias("root_id"), F.when(looped, -1).otherwise(F.col("off")).cast("long").alias("depth"))
 
 
 def paths(links: DataFrame, ends: DataFrame) -> DataFrame:
-    """id, path: the ids from the root down to the node, by parent traversal in doubling steps.
+    """id, path, n_descendants: the ids from the root down to the node, by parent traversal in doubling steps, and how many nodes
+    hang below it.
 
-    Each round appends to a node's path the path of the node where it stopped, so depth d takes log2(d) rounds; the join
-    is by that node's id and splits hot ones. Nodes on or below a cycle have no path. The result is as large as the sum
-    of depths, whatever the method.
+    Each round appends to a node's path the path of the node where it stopped, and adds to a node's count those of the
+    nodes that stopped at it; so depth d takes log2(d) rounds. The join is by that node's id and splits hot ones. Nodes on
+    or below a cycle have no path. The paths are as large as the sum of depths, whatever the method; the counts are not.
     """
     fine = links.join(ends.filter(F.col("depth") >= 0).select("id", "depth"), "id")
     deepest = ends.agg(F.max("depth")).first()[0] or 0
-    rows = staged(fine.select("id", F.col("up").alias("next"), F.array("id").alias("up_path")), "paths")
+    rows = staged(fine.select("id", F.col("up").alias("next"), F.array("id").alias("up_path"), F.lit(1).cast("long").alias("n")), "paths")
     for _ in range(int(np.ceil(np.log2(deepest + 1))) if deepest > 0 else 0):
         live = rows.filter(F.col("next").isNotNull())
-        weights = live.groupBy("next").agg(F.count("*").alias("_w"))
+        weights = staged(live.groupBy("next").agg(F.count("*").alias("_w"), F.sum("n").alias("_more")), "weights")
         hop = rows.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("up_path").alias("_path"))
-        joined = salted_join(live, staged(weights.join(hop, "next"), "hop"), "next", "_w", ["id"])
-        rows = staged(joined.select("id", F.col("_next").alias("next"), F.concat("up_path", "_path").alias("up_path")).unionByName(rows.filter(F.col("next").isNull())), "paths")
-    return rows.select("id", F.reverse("up_path").alias("path"))
+        counted = rows.join(weights.select(F.col("next").alias("id"), "_more"), "id", "left").withColumn("n", F.col("n") + F.coalesce("_more", F.lit(0))).drop("_more")
+        joined = salted_join(counted.filter(F.col("next").isNotNull()), staged(weights.drop("_more").join(hop, "next"), "hop"), "next", "_w", ["id"])
+        rows = staged(joined.select("id", F.col("_next").alias("next"), F.concat("up_path", "_path").alias("up_path"), "n").unionByName(counted.filter(F.col("next").isNull())), "paths")
+    return rows.select("id", F.reverse("up_path").alias("path"), (F.col("n") - 1).alias("n_descendants"))
 
 
 def descendants(walked: DataFrame) -> DataFrame:
@@ -178,10 +214,9 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each holon with its root, depth, path of ids from the root, number of descendants and whether it hangs on a cycle."""
     links = parent_links(table(spark, sf_dir, "holons"))
     ends = staged(forest(links), "ends")
-    walked = staged(paths(links, ends), "walked")
-    below = descendants(walked).groupBy(F.col("ancestor_id").alias("id")).agg(F.count("*").alias("_n"))
-    return ends.join(walked, "id", "left").join(below, "id", "left").select(
-        "id", "root_id", "depth", F.array_join("path", " / ").alias("path"), F.coalesce("_n", F.lit(0)).alias("n_descendants"), (F.col("depth") < 0).alias("on_or_below_cycle"))
+    walked = paths(links, ends)
+    return ends.join(walked, "id", "left").select(
+        "id", "root_id", "depth", F.array_join("path", " / ").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("long").alias("n_descendants"), (F.col("depth") < 0).alias("on_or_below_cycle"))
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:

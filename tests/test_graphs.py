@@ -49,10 +49,13 @@ def rows(up):
 
 @pytest.mark.parametrize(("seed", "loops"), [(1, True), (2, False), (3, True)])
 def test_many_blocks(spark, monkeypatch, seed, loops):
+    """Blocks of one context, of pieces of a large one, and of coin tosses: merged to the end, without doubling."""
     monkeypatch.setattr(skew, "MIN_ROWS", 2)
+    monkeypatch.setattr(hierarchy, "SHRINKS", 9.0)
     up = random_parents(random.Random(seed), 60, loops)
-    links = hierarchy.parent_links(spark.createDataFrame(rows(up), HOLON))
-    got = {r.id: (r.root_id, r.depth) for r in hierarchy.forest(links, 9).collect()}
+    near = {"1": None, "2": "hot", "3": "hot"}
+    data = spark.createDataFrame([(*r, near.get(r[0][-1], r[0][-1])) for r in rows(up)], HOLON + ", context_id string")
+    got = {r.id: (r.root_id, r.depth) for r in hierarchy.forest(hierarchy.parent_links(data), 9).collect()}
     assert got == ends(up)
 
 
@@ -67,7 +70,9 @@ def test_deep_chain_and_paths(spark):
     up = {f"c{i:03}": f"c{i - 1:03}" if i else None for i in range(70)} | {"a": "b", "b": "a", "x": "a"}
     links = hierarchy.parent_links(spark.createDataFrame(rows(up), HOLON))
     found = hierarchy.forest(links, 20)
-    paths = {r.id: r.path for r in hierarchy.paths(links, found).collect()}
+    walked = hierarchy.paths(links, found).collect()
+    assert {r.id: r.n_descendants for r in walked} == {f"c{i:03}": 69 - i for i in range(70)}
+    paths = {r.id: r.path for r in walked}
     assert paths["c069"] == [f"c{i:03}" for i in range(70)] and paths["c000"] == ["c000"]
     assert not {"a", "b", "x"} & set(paths)
 
