@@ -252,7 +252,7 @@ def similar(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     filled = classes.filter(F.size("tokens") > 0)
     bands, rows = bands_and_rows(filled.count(), threshold, recall)
     n = partitions(spark)
-    keys = banded(filled.repartition(n, "class"), bands, rows)
+    keys = banded(filled, bands, rows)
     bucketed = keys.repartition(n, "key").sortWithinPartitions("key")  # one long: a radix sort
     out = staged(bucketed.mapInArrow(_pairs, "key long, a long, b long"), "buckets")
     pairs = out.filter(F.col("b").isNotNull()).select("a", "b")
