@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.functions import scalars as S
 from corvane.functions.scalars import clamp_level, relation_of_kind
-from corvane.operators.model import Base, sql
+from corvane.operators.model import AS_OF, Base, as_of, sql
 from corvane.operators.skew import hot_keys, salted, spread_out
 from corvane.operators.store import WHOLES, q
 from corvane.session import staged
@@ -148,6 +149,25 @@ def proposal_links(proposals: DataFrame, holons: DataFrame, relations: DataFrame
     return pairs.join(open_.select("source", "target"), ["source", "target"]).groupBy(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "relation_type").agg(F.max("congruence_level").cast("int").alias("congruence_level"))
 
 
+def proposal_rows(proposals: DataFrame, at: Column) -> DataFrame:
+    """The holons that proposals (id, kind, title, content, context_id, scope, parent_id) become: hypotheses in layer L0."""
+    return proposals.select(S.key(F.col("id")).alias("id"), F.lit("hypothesis").alias("type"), "kind", F.lit("L0").alias("layer"), "title", "content", "context_id", "scope", "parent_id", F.lit(0.0).alias("cached_r_score"), at.alias("created_at"), at.alias("updated_at")).filter("id IS NOT NULL")
+
+
+def proposal_members(proposals: DataFrame, holons: DataFrame, at: Column) -> DataFrame:
+    """memberOf relations of proposals (id, decision_context) to a decision context that exists and is another holon."""
+    wanted = proposals.select(S.key(F.col("id")).alias("source_id"), S.key(F.col("decision_context")).alias("target_id")).filter("source_id <> target_id").distinct()
+    known = wanted.join(holons.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return known.select("source_id", "target_id", F.lit("memberOf").alias("relation_type"), F.lit(3).alias("congruence_level"), at.alias("created_at"))
+
+
+def decision_rows(decisions: DataFrame, at: Column) -> DataFrame:
+    """The holons that decisions (title, content, context_id, winner) become: layer DRR, named by day and title, with the winner as
+    parent."""
+    name = F.regexp_replace(S.decision_file(at, F.col("title")), r"\.md$", "")
+    return decisions.select(S.key(name).alias("id"), F.lit("decision").alias("type"), F.lit("DRR").alias("layer"), "title", "content", "context_id", F.nullif("winner", F.lit("")).alias("parent_id"), at.alias("created_at")).filter("id IS NOT NULL")
+
+
 def decision_links(decisions: DataFrame) -> DataFrame:
     """selects and rejects relations of decisions (id, winner, rejected: array). Blank ids and the winner are not rejected."""
     chosen = decisions.filter(F.coalesce("winner", F.lit("")) != "").select(F.col("id").alias("source_id"), F.lit("selects").alias("relation_type"), F.col("winner").alias("target_id"))
@@ -169,6 +189,9 @@ QUERIES = {
     "would_create_cycle": q(lambda b: closing(b.relations.filter("relation_type = 'dependsOn'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), edges(b.relations))),
     "self_loops": q(lambda b: b.relations.filter("source_id = target_id").select("source_id", "relation_type")),
     "proposal_links": q(lambda b: proposal_links(_proposals(b), b.holons, b.relations)),
+    "proposal_rows": q(lambda b: proposal_rows(b.holons.withColumn("id", F.concat("title", F.lit(" "), "id")), as_of())),
+    "proposal_members": q(lambda b: proposal_members(b.holons.select("id", F.col("parent_id").alias("decision_context")), b.holons, as_of())),
+    "decision_rows": q(lambda b: decision_rows(b.holons.filter("layer = 'DRR'").withColumn("winner", F.col("parent_id")), as_of())),
     "decision_links": q(lambda b: decision_links(_decisions(b))),
 }
 
@@ -183,6 +206,9 @@ SQL = {
     "self_loops": sql("SELECT source_id, relation_type FROM r WHERE source_id = target_id"),
     "proposal_links": sql("""SELECT p.id AS source_id, x.id AS target_id, CASE WHEN x.kind = 'episteme' THEN 'constituentOf' ELSE 'componentOf' END AS relation_type, 3 AS congruence_level
         FROM h x JOIN h p ON p.id IN (x.parent_id, x.context_id) AND p.id <> x.id WHERE NOT EXISTS (SELECT 1 FROM reach WHERE seed = x.id AND node = p.id)""", _G, True),
+    "proposal_rows": sql(f"""SELECT nullif(trim(regexp_replace(lower(title || ' ' || id), '[^a-z0-9]+', '-', 'g'), '-'), '') AS id, 'hypothesis' AS type, kind, 'L0' AS layer, title, content, context_id, scope, parent_id, CAST(0.0 AS DOUBLE) AS cached_r_score, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at FROM h WHERE title IS NOT NULL"""),
+    "proposal_members": sql(f"SELECT h.id AS source_id, p.id AS target_id, 'memberOf' AS relation_type, 3 AS congruence_level, TIMESTAMP '{AS_OF}' AS created_at FROM h JOIN h p ON p.id = h.parent_id WHERE h.id <> p.id"),
+    "decision_rows": sql(f"""SELECT trim('drr-{AS_OF[:10]}-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), '-') AS id, 'decision' AS type, 'DRR' AS layer, title, content, context_id, parent_id, TIMESTAMP '{AS_OF}' AS created_at FROM h WHERE layer = 'DRR' AND title IS NOT NULL"""),
     "decision_links": sql("""SELECT id AS source_id, 'selects' AS relation_type, parent_id AS target_id FROM h WHERE layer = 'DRR' AND parent_id IS NOT NULL
         UNION SELECT id, 'rejects', context_id FROM h WHERE layer = 'DRR' AND context_id <> '' AND context_id IS DISTINCT FROM parent_id"""),
 }

@@ -224,6 +224,14 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(paths(links, staged(forest(links), "ends")))
 
 
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ancestor_id, depth, place: each holon's line of ancestors, root first; depth counts up from the holon itself, which is
+    0. A parent that is no holon ends the line; a holon on or below a cycle has none."""
+    links = parent_links(table(spark, sf_dir, "holons"))
+    steps = paths(links, staged(forest(links), "ends")).select("id", F.size("path").alias("_n"), F.posexplode("path").alias("_at", "ancestor_id"))
+    return steps.select("id", "ancestor_id", (F.col("_n") - 1 - F.col("_at")).cast("long").alias("depth"), (F.col("_at") + 1).cast("long").alias("place"))
+
+
 _KEY = "nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 _LINKS_SQL = f"""
 RECURSIVE one AS (
@@ -244,13 +252,15 @@ ended AS (
   UNION ALL SELECT w.start_id, min(w.id), CAST(-1 AS BIGINT), NULL FROM walk w JOIN ring r ON r.start_id = w.id GROUP BY 1
 )"""
 
-QUERIES = {"p3_found": found, "p3_hierarchy": hierarchy, "p3_descendants": closure}
+QUERIES = {"p3_found": found, "p3_hierarchy": hierarchy, "p3_descendants": closure, "holon_lineage": lineage}
 SQL = {
     "p3_found": f"WITH {_LINKS_SQL}{_RING_SQL} SELECT id, root_id, depth FROM ended",
     "p3_hierarchy": f"""WITH {_LINKS_SQL}{_RING_SQL},
         pairs AS (SELECT unnest(string_split(path, ' / ')[:-2]) AS id FROM down),
         below AS (SELECT id, count(*) AS n FROM pairs GROUP BY 1)
         SELECT e.id, root_id, depth, path, coalesce(n, 0) AS n_descendants, depth < 0 AS on_or_below_cycle FROM ended e LEFT JOIN below b ON b.id = e.id""",
+    "holon_lineage": f"""WITH {_LINKS_SQL}
+        SELECT id, unnest(string_split(path, ' / ')) AS ancestor_id, unnest(range(depth, -1, -1)) AS depth, unnest(range(1, depth + 2)) AS place FROM down""",
     "p3_descendants": f"""WITH {_LINKS_SQL}
         SELECT unnest(string_split(path, ' / ')[:-2]) AS ancestor_id, id AS descendant_id, unnest(range(depth, 0, -1)) AS distance FROM down""",
 }

@@ -153,3 +153,11 @@ a AS (SELECT {_k('id')} AS id, "timestamp", tool_name, operation, lower(actor) A
 
 def sql(body: str, more: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{VIEWS}{', ' + more if more else ''} {body}"
+
+
+def json_of(c: str) -> str:
+    """A text as a JSON value, in SQL."""
+    out = c
+    for sign, escape in {"\\": "\\\\", '"': '\\"', "<": "\\u003c", ">": "\\u003e", "&": "\\u0026"}.items():
+        out = f"replace({out}, '{sign}', '{escape}')"
+    return f"""coalesce('"' || {out} || '"', 'null')"""

@@ -44,7 +44,7 @@ def references(evidence: DataFrame, relations: DataFrame, audit_log: DataFrame)
 
 
 def orphans(holons: DataFrame, evidence: DataFrame, relations: DataFrame, audit_log: DataFrame) -> DataFrame:
-    """References that do not resolve: ref_table, ref_field, row_key, at, each row once.
+    """References that do not resolve: ref_table, ref_field, row_key, at; repeated rows as often as they come.
 
     Tagged parent and child keys are united in long form and grouped by key, with partial aggregation before the shuffle;
     what is left of a key is the first instant it exists, per parent table, and the first instant it is referred to. Only
@@ -81,7 +81,7 @@ def orphans(holons: DataFrame, evidence: DataFrame, relations: DataFrame, audit_
     lacking = staged(grouped.filter(narrow | wide).select("key", "holon_from", "any_from", "refs"), "lacking")
     born = F.when(F.col("holons_only"), F.col("holon_from")).otherwise(F.col("any_from"))
     found = salted_join(refs, lacking, "key", "refs", ["row_key", "at"])
-    return found.filter(born.isNull() | (F.coalesce("at", latest) < born)).select("ref_table", "ref_field", "row_key", "at").distinct()
+    return found.filter(born.isNull() | (F.coalesce("at", latest) < born)).select("ref_table", "ref_field", "row_key", "at")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

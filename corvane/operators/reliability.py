@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.scalars import penalty, verdict_score
-from corvane.operators.graph import reachable
+from corvane.operators.graph import closing, reachable
 from corvane.operators.model import AS_OF, Base, as_of, sql
-from corvane.operators.skew import hot_keys, salted, spread_out
+from corvane.operators.sequence import running_total
+from corvane.operators.skew import hot_keys, salted, salted_join, spread_out
 from corvane.operators.store import q, updated
 from corvane.session import staged
 
@@ -128,14 +129,41 @@ def _cyclic(open_: DataFrame, edges: DataFrame, hot: DataFrame | None) -> DataFr
     return open_.join(least.withColumnRenamed("root", "id"), "id").select("id", "self_score", "r")
 
 
+def _rested(relations: DataFrame, scores: DataFrame) -> DataFrame:
+    """dependencies() with the penalty and the r of the dependency, by a join that splits hot dependencies."""
+    deps = staged(dependencies(relations), "deps")
+    weights = deps.groupBy("dep").agg(F.count("*").alias("_w"))
+    keyed = staged(weights.join(scores.select(F.col("id").alias("dep"), F.col("r").alias("_r")), "dep"), "keyed")
+    return salted_join(deps, keyed, "dep", "_w", ["id"]).withColumn("pen", penalty(F.col("level")))
+
+
+def factor_rows(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
+    """id, factor, n: the factors of reports() in long form, for holons with so many that they should not be one value: expired
+    evidence (n rows), no evidence, and each penalised dependency."""
+    own = self_scores(evidence, at).select(F.col("holon_id").alias("id"), "n_expired")
+    known = holons.select("id").join(own, "id", "left")
+    aged = known.filter("n_expired > 0").select("id", F.lit("Evidence expired (Decay applied)").alias("factor"), F.col("n_expired").alias("n"))
+    bare = known.filter("n_expired IS NULL").select("id", F.lit("No evidence found (L0)"), F.lit(1).cast("long"))
+    deps = dependencies(relations).filter(penalty(F.col("level")) > 0).select("id", F.concat(F.lit("CL Penalty applied for "), "dep"), F.lit(1).cast("long")).distinct()
+    return aged.union(bare).union(deps.join(holons.select("id"), "id", "left_semi"))
+
+
+def cycle_factors(relations: DataFrame) -> DataFrame:
+    """id, dep, factor: every link along which evaluating id comes back to id, that is where dep rests on id in its turn. The
+    note belongs to the second visit, which counts as 1; it is no part of the report of a holon evaluated first."""
+    links = dependencies(relations).select("id", "dep").distinct()
+    back = closing(links.select(F.col("id").alias("source"), F.col("dep").alias("target")), links.select(F.col("id").alias("node"), F.col("dep").alias("to")))
+    return back.filter("would_cycle").select(F.col("source").alias("id"), F.col("target").alias("dep"), F.lit("Cycle detected, skipping re-evaluation").alias("factor"))
+
+
 def reports(holons: DataFrame, evidence: DataFrame, relations: DataFrame, at: Column, scores: DataFrame | None = None) -> DataFrame:
     """One row per known holon: r, self_score, weakest_link, decay_penalty, factors.
 
     weakest_link is the direct dependency with the least r less its penalty, ties to the smaller id, null if all are worth
-    1; factors name expired evidence, missing evidence and penalised dependencies.
+    1; factors name expired evidence, missing evidence and penalised dependencies. factor_rows() has them one a row.
     """
     scores = staged(reliability(holons, evidence, relations, at) if scores is None else scores, "scores")
-    deps = dependencies(relations).join(scores.select(F.col("id").alias("dep"), F.col("r").alias("_r")), "dep").withColumn("pen", penalty(F.col("level")))
+    deps = _rested(relations, scores)
     worth = F.greatest(F.lit(0.0), F.col("_r") - F.col("pen"))
     notes = F.array_sort(F.collect_set(F.when(F.col("pen") > 0, F.concat(F.lit("CL Penalty applied for "), F.col("dep")))))
     link = deps.withColumn("worth", F.round(worth, 9)).groupBy("id").agg(F.min(F.struct("worth", "dep")).alias("_w"), notes.alias("_notes"))
@@ -201,9 +229,9 @@ def audit_trees(holons: DataFrame, relations: DataFrame, scores: DataFrame) -> D
     rest = staged(links.join(nodes.select("node"), "node", "left_anti"), "rest")
     if not rest.isEmpty():
         nodes = nodes.unionByName(_walked(_heads(rest), parts))
-    # A task numbers whole trees: it sorts them, with spilling, and holds none.
-    place = F.row_number().over(Window.partitionBy("root_id").orderBy("path", "kind", "nth", "who"))
-    return _lines(nodes, holons, relations, scores).withColumn("root_id", F.col("path")[0]).select("root_id", place.alias("position"), "line")
+    lines = _lines(nodes, holons, relations, scores).withColumn("root_id", F.col("path")[0]).withColumn("_one", F.lit(1))
+    placed = running_total(lines, "root_id", ["path", "kind", "nth", "who"], "_one")  # a tree of any size is spread over the tasks
+    return placed.select("root_id", (F.col("_before") + 1).cast("int").alias("position"), "line")
 
 
 def _parts(relations: DataFrame) -> DataFrame:
@@ -234,14 +262,14 @@ def _lines(nodes: DataFrame, holons: DataFrame, relations: DataFrame, scores: Da
     factors = F.col("factors") if "factors" in scores.columns else F.array().cast("array<string>")
     about = staged(scores.select("id", "r", factors.alias("factors")).join(holons.select("id", F.nullif(F.col("title"), F.lit("")).alias("title")), "id", "left"), "about")
     shown = nodes.join(about.withColumnRenamed("id", "node"), "node", "left")
-    head = F.format_string("[%s R:%.2f] %s", F.col("node"), F.coalesce("r", F.lit(0.0)), F.coalesce("title", "node"))
+    head = F.format_string("[%s R:%.2f] %s", F.col("node"), F.round(F.coalesce("r", F.lit(0.0)), 6), F.coalesce("title", "node"))
     indent = F.expr("repeat('  ', at)")
     arrow = F.when(F.col("at") > 0, F.concat(F.expr("repeat('  ', at - 1)"), F.lit("  --(CL:"), F.col("level").cast("string"), F.lit(")-->\n"))).otherwise("")
     lines = shown.select("path", F.lit(0).alias("kind"), F.lit(0).alias("nth"), F.lit("").alias("who"), F.concat(arrow, indent, head).alias("line"))
     noted = shown.select("path", "at", F.posexplode("factors").alias("nth", "factor")).select("path", F.lit(1).alias("kind"), "nth", F.lit("").alias("who"), F.concat(indent, F.lit("  ! "), F.col("factor")).alias("line"))
     members = relations.filter("relation_type = 'memberOf'").select(F.col("target_id").alias("node"), F.col("source_id").alias("member"))
     inside = nodes.join(members, "node").join(about.withColumnRenamed("id", "member"), "member", "left")
-    note = F.format_string("    - [%s R:%.2f] %s", F.col("member"), F.coalesce("r", F.lit(0.0)), F.coalesce("title", "member"))
+    note = F.format_string("    - [%s R:%.2f] %s", F.col("member"), F.round(F.coalesce("r", F.lit(0.0)), 6), F.coalesce("title", "member"))
     # Members come after all components of the node: the path is closed by a sign that sorts behind every id.
     listed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(3).alias("kind"), F.lit(0).alias("nth"), F.col("member").alias("who"), F.concat(indent, note).alias("line"))
     headed = inside.select(F.concat("path", F.array(F.lit("~"))).alias("path"), F.lit(2).alias("kind"), F.lit(0).alias("nth"), F.lit("").alias("who"), F.concat(indent, F.lit("  [members]")).alias("line")).distinct()
@@ -265,6 +293,8 @@ QUERIES = {
     "weakest_links": q(lambda b: _reports(b).select("id", "r", "weakest_link")),
     "reliability_l2_comparison": q(lambda b: _reports(b).filter("layer = 'L2'").select("id", "title", "r", "weakest_link")),
     "rscore_writeback": q(lambda b: updated(b.holons.select("id", "cached_r_score", "updated_at"), _scores(b).select("id", F.round("r", 6).alias("cached_r_score")), "cached_r_score")),
+    "factors": q(lambda b: factor_rows(b.holons, b.evidence, b.relations, as_of())),
+    "cycle_factors": q(lambda b: cycle_factors(b.relations)),
     "audit_tree": q(lambda b: audit_trees(b.holons, b.relations, tree_scores(b.holons, b.evidence, b.relations, as_of()))),
 }
 
@@ -285,7 +315,40 @@ link AS (SELECT pen.id, arg_min(dep, (round(greatest(0.0, score.r - pen), 9), de
 report AS (SELECT h.id, title, layer, round(score.r, 6) AS r, CASE WHEN round(worth, 9) < 1 THEN weakest END AS weakest_link FROM h JOIN score ON score.id = h.id LEFT JOIN link ON link.id = h.id)
 """
 
+_NOTED = """
+notes AS (SELECT id, list_sort(list(DISTINCT 'CL Penalty applied for ' || dep)) AS notes FROM pen WHERE pen > 0 GROUP BY 1)"""
+
+#: The trees: roots, what they reach, heads of cyclic parts, ways down, scores and factors of all that is shown, lines.
+_TREE = """,
+tp AS (SELECT target_id AS node, source_id AS part, coalesce(congruence_level, 3) AS level FROM r WHERE relation_type = 'componentOf'),
+tl AS (SELECT DISTINCT node, part FROM tp WHERE node <> part),
+tm AS (SELECT target_id AS node, source_id AS member FROM r WHERE relation_type = 'memberOf'),
+tfree AS (SELECT id FROM (SELECT id FROM h UNION SELECT node FROM tp UNION SELECT node FROM tm) WHERE id NOT IN (SELECT part FROM tl)),
+tcov AS (SELECT id AS node FROM tfree UNION SELECT part FROM tcov JOIN tl ON tl.node = tcov.node),
+trest AS (SELECT * FROM tl WHERE node NOT IN (SELECT node FROM tcov)),
+treach AS (SELECT node AS seed, part AS node FROM trest UNION SELECT seed, part FROM treach JOIN trest ON trest.node = treach.node),
+tlater AS (SELECT a.node FROM treach a LEFT JOIN treach b ON b.seed = a.node AND b.node = a.seed WHERE a.seed <> a.node AND (b.seed IS NULL OR a.seed < a.node)),
+troot AS (SELECT id FROM tfree UNION SELECT node FROM trest WHERE node NOT IN (SELECT node FROM tlater)),
+twalk AS (SELECT id AS node, [id] AS path, 0 AS deep, 3 AS level, false AS back FROM troot
+  UNION ALL SELECT part, list_append(path, part), deep + 1, tp.level, list_contains(path, part) FROM twalk JOIN tp ON tp.node = twalk.node WHERE NOT back),
+tends AS (SELECT DISTINCT unnest([source_id, target_id]) AS id FROM r WHERE relation_type IN ('componentOf', 'memberOf')),
+tsc AS (SELECT id, r FROM score UNION ALL SELECT id, coalesce(self_score, 0.0) FROM tends LEFT JOIN own ON holon_id = id WHERE id NOT IN (SELECT id FROM score)),
+about AS (SELECT tsc.id, printf('[%s R:%.2f] %s', tsc.id, round(round(r, 6), 2), coalesce(nullif(title, ''), tsc.id)) AS head,
+    list_concat(list_concat(['Evidence expired (Decay applied)' for i in range(coalesce(n_expired, 0)::BIGINT)], CASE WHEN n_evidence IS NULL THEN ['No evidence found (L0)'] ELSE [] END), coalesce(notes, [])) AS f
+  FROM tsc LEFT JOIN h ON h.id = tsc.id LEFT JOIN own ON own.holon_id = tsc.id LEFT JOIN notes ON notes.id = tsc.id),
+shown AS (SELECT twalk.*, head, f FROM twalk JOIN about ON about.id = twalk.node),
+tline AS (SELECT path, 0 AS kind, 0 AS nth, '' AS who, CASE WHEN deep > 0 THEN repeat('  ', deep - 1) || '  --(CL:' || level || ')-->' || chr(10) ELSE '' END || repeat('  ', deep) || head AS line FROM shown
+  UNION ALL SELECT path, 1, unnest(range(len(f)))::INT, '', repeat('  ', deep) || '  ! ' || unnest(f) FROM shown
+  UNION ALL SELECT DISTINCT list_append(path, '~'), 2, 0, '', repeat('  ', deep) || '  [members]' FROM shown JOIN tm ON tm.node = shown.node
+  UNION ALL SELECT list_append(path, '~'), 3, 0, member, repeat('  ', deep) || '    - ' || about.head FROM shown JOIN tm ON tm.node = shown.node JOIN about ON about.id = member)"""
+
 SQL = {
+    "factors": sql("""SELECT h.id, 'Evidence expired (Decay applied)' AS factor, n_expired::BIGINT AS n FROM h JOIN own ON own.holon_id = h.id WHERE n_expired > 0
+        UNION ALL SELECT id, 'No evidence found (L0)', 1 FROM h WHERE id NOT IN (SELECT holon_id FROM own)
+        UNION ALL SELECT DISTINCT pen.id, 'CL Penalty applied for ' || dep, 1 FROM pen JOIN h ON h.id = pen.id WHERE pen > 0""", _R, True),
+    "cycle_factors": sql("SELECT DISTINCT pen.id, pen.dep, 'Cycle detected, skipping re-evaluation' AS factor FROM pen JOIN rests ON rests.id = pen.dep AND rests.dep = pen.id", _R.rstrip() + """,
+        rests AS (SELECT dep AS id, dep FROM pen UNION SELECT rests.id, pen.dep FROM rests JOIN pen ON pen.id = rests.dep)""", True),
+    "audit_tree": sql("SELECT path[1] AS root_id, row_number() OVER (PARTITION BY path[1] ORDER BY path, kind, nth, who)::INT AS position, line FROM tline", _R.rstrip() + "," + _NOTED + _TREE, True),
     "self_score": sql("SELECT holon_id, round(self_score, 6) AS self_score, n_evidence FROM own", _R, True),
     "decay_penalty": sql("SELECT holon_id, CAST(n_expired AS BIGINT) AS n_expired, round(n_expired * CAST(0.9 AS DOUBLE), 6) AS decay_penalty FROM own", _R, True),
     "direct_dependencies": sql("SELECT id, dep, level, pen AS penalty FROM pen", _R, True),
@@ -295,8 +358,7 @@ SQL = {
     "reliability_report": sql("""SELECT report.id, printf('## Reliability Report: %s' || chr(10) || chr(10) || '**R_eff: %.2f**' || chr(10) || '- Self Score: %.2f' || chr(10), report.id, round(report.r, 2), round(round(score.self_score, 6), 2))
         || coalesce('- Weakest Link: ' || weakest_link || chr(10), '') || CASE WHEN n_expired > 0 THEN printf('- Decay Penalty: %.2f' || chr(10), round(n_expired * CAST(0.9 AS DOUBLE), 6)) ELSE '' END
         || CASE WHEN len(f) > 0 THEN chr(10) || '**Factors:**' || chr(10) || array_to_string(['- ' || x || chr(10) for x in f], '') ELSE '' END AS report
-        FROM report JOIN score ON score.id = report.id LEFT JOIN own ON own.holon_id = report.id LEFT JOIN factor_ ON factor_.id = report.id""", _R.rstrip() + """,
-        notes AS (SELECT id, list_sort(list(DISTINCT 'CL Penalty applied for ' || dep)) AS notes FROM pen WHERE pen > 0 GROUP BY 1),
+        FROM report JOIN score ON score.id = report.id LEFT JOIN own ON own.holon_id = report.id LEFT JOIN factor_ ON factor_.id = report.id""", _R.rstrip() + "," + _NOTED + """,
         factor_ AS (SELECT h.id, list_concat(list_concat(['Evidence expired (Decay applied)' for i in range(coalesce(n_expired, 0)::BIGINT)], CASE WHEN n_evidence IS NULL THEN ['No evidence found (L0)'] ELSE [] END), coalesce(notes, [])) AS f
           FROM h LEFT JOIN own ON own.holon_id = h.id LEFT JOIN notes ON notes.id = h.id)""", True),
     "rscore_writeback": sql("SELECT h.id, round(score.r, 6) AS cached_r_score, updated_at FROM h JOIN score ON score.id = h.id", _R, True),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import scalars as S
 from corvane.operators import freshness, reliability
-from corvane.operators.model import Base, as_of, sql
+from corvane.operators.model import Base, as_of, json_of, sql
 from corvane.operators.store import latest, q
+from corvane.session import removed_at_end, shared_dir
 from corvane.sources import tables
 
 CONFIG = ("package.json", "go.mod", "Cargo.toml", "pyproject.toml", "Dockerfile")
@@ -69,6 +71,14 @@ def _files(b: Base) -> DataFrame:
     return tables.projection(b.holons).join(b.holons.select(F.concat(F.lit("knowledge/"), F.trim("layer"), F.lit("/"), F.col("id"), F.lit(".md")).alias("path"), edit.alias("_edit")), "path").select("path", F.concat("document", "_edit").alias("document"))
 
 
+def _markdown(b: Base) -> DataFrame:
+    """The files of _files(), written to the shared folder and read again."""
+    folder = f"{shared_dir(b.spark)}/corvane-markdown-{uuid.uuid4().hex}"
+    tables.write_markdown(_files(b), folder)
+    removed_at_end(b.spark, folder)
+    return tables.read_markdown(b.spark, folder)
+
+
 def _documents(b: Base) -> DataFrame:
     return b.raw("documents")
 
@@ -88,6 +98,7 @@ QUERIES = {
     "content_hash": q(lambda b: _documents(b).select("doc_id", S.content_hash(F.col("text")).alias("content_hash"))),
     "input_hash": q(lambda b: b.audit.select("id", S.short_hash(S.canonical_json({"tool": F.col("tool_name"), "actor": F.col("actor")})).alias("input_hash"))),
     "tamper_check": q(lambda b: tables.validated(_files(b)).select("path", "tampered", "expected", "actual")),
+    "markdown_files": q(lambda b: tables.validated(_markdown(b)).select("path", "tampered", "expected", "actual")),
     "self_healing": q(lambda b: tables.healed(_files(b).withColumn("path", F.concat(F.lit("/"), "path")), b.holons).select("path", "was_tampered", S.tampered(F.col("document")).alias("still_tampered"))),
     "path_holon_id": q(lambda b: _targets(b).select("id", S.holon_id_of_path(F.col("target_id")).alias("holon_id"))),
     "path_layer": q(lambda b: _targets(b).select("id", S.layer_of_path(F.col("target_id")).alias("layer"))),
@@ -103,7 +114,6 @@ QUERIES = {
 
 _CHANGED = "changed AS (SELECT DISTINCT 'M' AS status, carrier_ref AS path FROM e WHERE regexp_matches(carrier_ref, '^(src|config)/'))"
 _TEXT = "('# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, ''))"
-_JSON = r"""coalesce('"' || replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '"', '\\"'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '"', 'null')"""
 _ITEMS = "CASE WHEN regexp_matches(text, '{p}') THEN array_to_string(['{a}' || split_part(s, chr(2), 1) || '{b}' || trim(split_part(s, chr(2), 2), E' \\n\\t\\r') for s in string_split(regexp_replace(text, '{p}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) if contains(s, chr(2))], chr(10)) ELSE text END"
 SQL = {
     "carrier_staleness": sql("SELECT id, holon_id, carrier_ref FROM e WHERE carrier_ref IN (SELECT path FROM changed)", _CHANGED),
@@ -115,8 +125,9 @@ SQL = {
         arg_max(layer, (updated_at, row_)) AS last_layer, count(*) FILTER (id IN (SELECT holon_id FROM stale)) AS n_stale FROM (SELECT *, -row_number() OVER (ORDER BY id) AS row_ FROM h) GROUP BY 1""", freshness._STALE),
     "slugify": sql("SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM h"),
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 32) AS content_hash FROM documents",
-    "input_hash": sql(f"""SELECT id, substr(sha256('{{"actor":' || {_JSON.format('actor')} || ',"tool":' || {_JSON.format('tool_name')} || '}}'), 1, 16) AS input_hash FROM a"""),
+    "input_hash": sql(f"""SELECT id, substr(sha256('{{"actor":' || {json_of('actor')} || ',"tool":' || {json_of('tool_name')} || '}}'), 1, 16) AS input_hash FROM a"""),
     "tamper_check": sql(f"SELECT 'knowledge/' || layer || '/' || id || '.md' AS path, kind IS NULL AS tampered, substr(sha256({_TEXT}), 1, 32) AS expected, substr(sha256({_TEXT} || CASE WHEN kind IS NULL THEN chr(10) || 'edited' ELSE '' END), 1, 32) AS actual FROM h"),
+    "markdown_files": sql(f"SELECT 'knowledge/' || layer || '/' || id || '.md' AS path, kind IS NULL AS tampered, substr(sha256({_TEXT}), 1, 32) AS expected, substr(sha256({_TEXT} || CASE WHEN kind IS NULL THEN chr(10) || 'edited' ELSE '' END), 1, 32) AS actual FROM h"),
     "self_healing": sql("SELECT '/knowledge/' || layer || '/' || id || '.md' AS path, kind IS NULL AS was_tampered, kind IS NULL AND layer = 'DRR' AS still_tampered FROM h"),
     "path_holon_id": sql(r"SELECT id, regexp_extract(target_id, '/knowledge/(?:L[012]|invalid)/([^/]+)\.md$', 1) AS holon_id FROM a WHERE contains(target_id, '/')"),
     "path_layer": sql("SELECT id, regexp_extract(target_id, '/knowledge/(L[012]|invalid)/', 1) AS layer FROM a WHERE contains(target_id, '/')"),

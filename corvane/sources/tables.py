@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as S
+from corvane.session import partitions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def with_hash(fields: dict[str, Column], text: Column) -> Column:
     """A document of sorted frontmatter fields, the hash of its body, and the body. Null fields and texts count as ''."""
     text = F.coalesce(text, F.lit(""))
@@ -31,14 +27,17 @@ def projection(holons: DataFrame) -> DataFrame:
     return holons.select(path.alias("path"), with_hash(fields, text).alias("document"))
 
 
-def write_projection(holons: DataFrame, folder: str) -> None:
-    """Write one text file per holon row set: documents as Parquet rows keyed by path, the set-based form of a file tree."""
-    projection(holons).write.mode("overwrite").parquet(folder)
+def write_markdown(files: DataFrame, folder: str) -> None:
+    """Write each document (path, document) as a text file of its own, in a folder named after its path."""
+    one = files.groupBy("path").agg(F.max("document").alias("document")).filter(F.col("path").isNotNull() & F.col("document").isNotNull())
+    # Each task writes the files of its share one after the other.
+    one.repartition(partitions(files.sparkSession), "path").write.mode("overwrite").partitionBy("path").text(folder)
 
 
-def read_markdown(spark: SparkSession, glob: str) -> DataFrame:
-    """Whole Markdown files with their path."""
-    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """path, document of the files write_markdown() wrote, each read whole."""
+    files = spark.read.schema("value string, path string").text(folder, wholetext=True)
+    return files.select("path", F.expr("substring(value, 1, length(value) - 1)").alias("document"))  # the writer ends a file with a line break
 
 
 def validated(files: DataFrame) -> DataFrame:
