@@ -5,7 +5,8 @@ import pytest
 
 from corvane.llm import quality
 
-COMMON = frozenset("the of and to in a is that it was for on as with by at this from had has we than after der die und que la el de".split())
+COMMON_WORDS = frozenset("the of and to in a is that it was for on as with by at this from had has we than after der die und que la el de".split())
+COMMON = quality.Tokens({w: i for i, w in enumerate(sorted(COMMON_WORDS), 1)})
 PROSE = "The reviewers had asked for a report on the state of the ledger. It was written by the team in a week, and it is still in use.\nAfter that we moved to a plan that was made for the cluster."
 LIST = "- static broker\n- Alpha depot (33 commits)\n- narrow timetable\n- [x] ledger leases\n- open items"
 TABLE = "layer,verdict,carrier,scope\n0.97,pass,mirror,L1\n0.33,fail,router,L0\n12,pass,-,L2"
@@ -28,7 +29,7 @@ def test_unicode_blanks():
 
 def test_types(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, (t, _) in CASES.items() for _ in range(5)], "doc_id long, text string, n_words string")
-    words = spark.createDataFrame([(w,) for w in COMMON] + [(None,)], "word string")
+    words = spark.createDataFrame([(w,) for w in COMMON_WORDS] + [(None,)], "word string")
     labels = spark.createDataFrame([(d, k) for d, (_, k) in CASES.items()] + [(99, "prose"), (1, "unheard of")], "doc_id long, text_class string")
     for known in (labels, None):
         got = quality.typed(quality.staged(quality.statistics(docs, words)), known).collect()
@@ -51,16 +52,33 @@ def test_votes():
 def test_learning_recovers_accuracies(seed):
     """Documents whose votes are drawn from known accuracies are told apart without any label."""
     rng = np.random.default_rng(seed)
-    truth = rng.choice(4, 4000, p=[0.7, 0.1, 0.1, 0.1])
+    n = len(quality.KINDS)
+    kind = rng.choice(n, 4000, p=[0.7] + [0.3 / (n - 1)] * (n - 1))
     code = np.zeros(4000, int)
     for name, cuts in quality.FUNCTIONS:
-        high = np.array(quality.PRIOR[name])
-        p = np.clip(high[truth] + rng.normal(0, 0.02), 0.02, 0.98)
-        vote = np.where(rng.random(4000) < p, len(cuts), rng.integers(0, len(cuts), 4000))
-        code = code * (len(cuts) + 1) + vote
+        p = np.clip(np.array([quality.prior(k, name) for k in range(n)])[kind] + rng.normal(0, 0.02), 0.02, 0.98)
+        code = code * (len(cuts) + 1) + np.where(rng.random(4000) < p, len(cuts), rng.integers(0, len(cuts), 4000))
     codes, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
-    post = quality.learned(codes, counts.astype(float), np.zeros((len(codes), 4)))
-    assert ((post[inverse, 0] >= 0.5) == (truth == 0)).mean() > 0.97
+    post, tables = quality.learned(codes, counts.astype(float), np.zeros((len(codes), 4)))
+    assert ((post[inverse, 0] >= 0.5) == (kind == 0)).mean() > 0.97
+    assert all(t.max() <= quality.SUREST + 0.01 for t, (_, cuts) in zip(tables, quality.FUNCTIONS) if len(cuts) == 1)
+
+
+def test_no_function_decides_alone():
+    """Two functions that speak for prose are outvoted by what the others say, whichever they are."""
+    for alone in ("sentence_share", "sentence_lines", "common_words"):
+        code = 0
+        for name, cuts in quality.FUNCTIONS:
+            high = name in (alone, "distinct_trigrams", "n_words", "plain_words", "listed_lines", "short_lines")
+            code = code * (len(cuts) + 1) + len(cuts) * high
+        post, _ = quality.learned(np.array([code]), np.array([1.0]), np.zeros((1, 4)))
+        assert post[0].argmax() == 1, alone
+
+
+def test_very_long_tokens_and_words_without_end():
+    for text in ("x" * 100_000, "lorem ipsum " * 50_000, "é" * 20_000 + " the end"):
+        got = dict(zip(quality.STATISTICS, quality.statistics_of(text, COMMON)))
+        assert got["n_chars"] == len("".join(text.split())) and got["n_words"] == len(text.split())
 
 
 def test_labels_of_the_test_tables(spark, folder):
@@ -69,3 +87,14 @@ def test_labels_of_the_test_tables(spark, folder):
     stats = quality.staged(quality.statistics(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/common_words.parquet")))
     rows = quality.typed(stats).join(spark.read.parquet(f"{d}/doc_labels.parquet"), "doc_id").collect()
     assert sum(r.is_prose == (r.text_class == "prose") for r in rows) / len(rows) > 0.95
+
+
+def test_types_of_labels_held_out(spark, folder):
+    """Learned with every other label, judged on the rest: each type nine times in ten."""
+    d = os.path.join(os.path.dirname(folder), "sf0.1")
+    stats = quality.staged(quality.statistics(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/common_words.parquet")))
+    labels = spark.read.parquet(f"{d}/doc_labels.parquet")
+    rows = quality.typed(stats, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").select("text_class", "text_type").collect()
+    for kind in quality.TYPES:
+        own = [r.text_type == kind for r in rows if r.text_class == kind]
+        assert len(own) > 10 and sum(own) / len(own) >= 0.9, kind
