@@ -21,8 +21,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 128
 SHARD_SLOTS = 4_096
-#: Rows of the target table; it is small by nature and is collected.
-MOST_SOURCES = 1_000
 
 
 @dataclass(frozen=True)
@@ -68,11 +66,9 @@ def distinct_texts(sizes: DataFrame) -> DataFrame:
 
 
 def wanted(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """source -> (share, max_repeats). Sources are compared by slug; of repeated ones the shares add up and the least cap
+    """source -> (share, max_repeats); the table says what is wanted, a row a source, and is collected. Sources are compared by slug; of repeated ones the shares add up and the least cap
     holds. Rows without a source or a positive share are left out; a missing cap is 1, caps under 1 are 0."""
-    rows = targets.groupBy(key(F.col("source")).alias("source")).agg(F.sum("target_share"), F.min(F.coalesce("max_repeats", F.lit(1)))).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = targets.groupBy(key(F.col("source")).alias("source")).agg(F.sum("target_share"), F.min(F.coalesce("max_repeats", F.lit(1)))).collect()
     return {r[0]: (float(r[1]), max(0, int(r[2]))) for r in sorted(rows, key=lambda r: r[0] or "") if r[0] and r[1] and r[1] > 0}
 
 
@@ -108,43 +104,6 @@ def planned(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block
     return [Source(s, share, cap, n, blocks[s], slots[s]) for s, share, cap, n in rows]
 
 
-def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of n slots, taken at random among all, go to each source."""
-    out = np.zeros_like(counts)
-    rest = int(counts.sum())
-    for i, c in enumerate(counts):
-        c, rest = int(c), rest - int(c)
-        if c + rest < 1_000_000_000:
-            k = int(rng.hypergeometric(c, rest, n)) if n and c + rest else 0
-        else:  # beyond the sampler's range its normal limit is exact to far less than a slot in a share
-            total, p = c + rest, c / (c + rest)
-            k = int(round(rng.normal(n * p, np.sqrt(max(0.0, n * p * (1 - p) * (total - n) / (total - 1))))))
-            k = min(max(k, n - rest, 0), c, n)
-        out[i] = k
-        n -= k
-    return out
-
-
-def shard_counts(shard: int, shards: int, slots: np.ndarray, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(draws of each source in a shard, draws of each source in the shards before it).
-
-    Multinomial draws given their totals: the range of shards is halved down to the one asked for, and at each step the
-    counts of the left half are drawn from those of the whole with a generator seeded by that range. So every task
-    finds its own shards' counts and offsets, all agree, and the totals come out exactly.
-    """
-    low, high, counts, before = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
-    total = int(slots.sum())
-    while high - low > 1:
-        mid = (low + high) // 2
-        n = min(mid * shard_slots, total) - low * shard_slots
-        left = _draw(np.random.default_rng([seed, low, high]), counts, n)
-        if shard < mid:
-            counts, high = left, mid
-        else:
-            counts, before, low = counts - left, before + left, mid
-    return counts, before
-
-
 def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A pseudorandom permutation of range(n) at `index`: a four-round Feistel network, walked until it falls inside."""
     if n <= 1:
@@ -166,31 +125,42 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def drawn(shard: int, counts: np.ndarray, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, number of the draw of that source) at each place of an output shard; counts: the slots of each source.
+
+    All slots are laid out source after source and dealt to the places of all shards by a pseudorandom permutation. So
+    the counts of a shard are multinomial draws given their totals, which come out exactly; every task finds its own
+    shards alone, at any number of slots, and no draw comes twice.
+    """
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    slot = permuted(np.arange(shard * shard_slots, min((shard + 1) * shard_slots, total)), total, [seed])
+    which = np.searchsorted(ends, slot, side="right")
+    return which, slot - (ends - counts)[which]
+
+
 def slots(spark: SparkSession, plan: list[Source], seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, place, source, block: which block of which source stands at each place of each output shard.
 
     The k-th draw of a source maps to block perm(k mod blocks) of its (k div blocks)-th pass, each pass with a
     permutation of its own; so a block recurs only after all others, and never more than max_repeats times.
     """
-    drawn = [s for s in plan if s.slots > 0]
-    counts = np.array([s.slots for s in drawn], np.int64)
+    used = [s for s in plan if s.slots > 0]
+    counts = np.array([s.slots for s in used], np.int64)
     shards = -(-int(counts.sum()) // shard_slots)
-    names = np.array([s.name for s in drawn], object)
+    names = np.array([s.name for s in used], object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
-                own, before = shard_counts(int(shard), shards, counts, shard_slots, seed)
-                which = np.repeat(np.arange(len(drawn)), own)
-                k = np.concatenate([before[i] + np.arange(own[i]) for i in range(len(drawn))])
+                which, k = drawn(int(shard), counts, shard_slots, seed)
                 block = np.zeros(len(k), np.int64)
-                for i, s in enumerate(drawn):
-                    lap = np.where(which == i, k // s.blocks, -1)
-                    for p in np.unique(lap[lap >= 0]):
-                        here = lap == p
-                        block[here] = permuted(k[here] % s.blocks, s.blocks, [seed, i, int(p)])
-                place = np.random.default_rng([seed, int(shard), 7]).permutation(len(k))
-                yield pd.DataFrame({"shard": shard, "place": place, "source": names[which], "block": block})
+                for i in np.unique(which):
+                    own = np.flatnonzero(which == i)
+                    lap, at = np.divmod(k[own], used[i].blocks)
+                    for p in np.unique(lap):
+                        block[own[lap == p]] = permuted(at[lap == p], used[i].blocks, [seed, int(i), int(p)])
+                yield pd.DataFrame({"shard": shard, "place": np.arange(len(k)), "source": names[which], "block": block})
 
     rows = spark.range(0, shards, 1, max(1, min(shards, 4 * partitions(spark))))
     return rows.mapInPandas(run, "shard long, place long, source string, block long")
@@ -261,5 +231,39 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_mix": chosen, "p7_layout": layout, "p7_shares": shares}
-SQL: dict[str, str] = {}
+def broken(mix: Mix, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """rule, n: how often each thing that holds of every mix does not: pieces make up whole documents, blocks are full but for
+    the last of a source, no block or document is used more often than its source may be, the slots drawn are those
+    planned, and, where no source is at its cap, shares are right to a block."""
+    spark = mix.slots.sparkSession
+    plan = spark.createDataFrame([(s.name, s.share, s.max_repeats, s.blocks, s.slots) for s in mix.plan], "source string, share double, cap int, blocks long, planned long")
+    cut, dealt = staged(mix.pieces, "pieces"), staged(mix.slots, "slots")
+    docs = cut.groupBy("doc_id").agg(F.sum("piece_tokens").alias("t"), F.max("n_tokens").alias("n")).filter("t <> n")
+    full = cut.groupBy("source", "block").agg(F.sum("piece_tokens").alias("t")).join(F.broadcast(plan), "source").filter((F.col("t") != block_tokens) & (F.col("block") != F.col("blocks") - 1))
+    often = dealt.groupBy("source", "block").agg(F.count("*").alias("n")).join(F.broadcast(plan), "source").filter("n > cap OR block >= blocks OR block < 0")
+    got = plan.join(dealt.groupBy("source").agg(F.count("*").alias("n")), "source", "left").filter("coalesce(n, 0) <> planned")
+    capped = used(mix).join(F.broadcast(plan), "source").filter("repeats > cap")
+    live = sum(s.share for s in mix.plan if s.blocks * s.max_repeats)
+    total = sum(s.slots for s in mix.plan)
+    # At the largest total one source is at its cap by construction and still has its share.
+    off = sum(abs(s.slots - total * s.share / live) > 1 for s in mix.plan if s.blocks * s.max_repeats)
+    counts = {"documents cut into pieces": docs, "full blocks": full, "repeats of blocks": often, "slots as planned": got, "repeats of documents": capped}
+    rows = [(rule, df.count()) for rule, df in counts.items()] + [("shares to a block", off)]
+    return spark.createDataFrame(rows, "rule string, n long")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken(_mixed(spark, sf_dir))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of as many tokens as the documents have, small sources filled up to their caps."""
+    documents = table(spark, sf_dir, "documents")
+    total = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    return used(mixed(documents, table(spark, sf_dir, "mix_targets"), total_tokens=total // 4))
+
+
+QUERIES = {"p7_mix": chosen, "p7_layout": layout, "p7_shares": shares, "p7_mix_of_all": asked, "p7_rules": rules}
+SQL = {
+    "p7_rules": "SELECT unnest(['documents cut into pieces', 'full blocks', 'repeats of blocks', 'slots as planned', 'repeats of documents', 'shares to a block']) AS rule, CAST(0 AS BIGINT) AS n",
+}

@@ -20,13 +20,21 @@ def test_permutation(n):
 def test_draws_add_up():
     slots = np.array([1000, 37, 0, 2963])
     shards, size = 16, 250
-    counts = [mixing.shard_counts(i, shards, slots, size, 1) for i in range(shards)]
-    assert (sum(c for c, _ in counts) == slots).all() and all(c.sum() == size for c, _ in counts)
-    so_far = np.zeros(4, int)
-    for own, before in counts:
-        assert (before == so_far).all()
-        so_far = so_far + own
-    assert len({tuple(c) for c, _ in counts}) > 1
+    dealt = [mixing.drawn(i, slots, size, 1) for i in range(shards)]
+    counts = [np.bincount(which, minlength=4) for which, _ in dealt]
+    assert (sum(counts) == slots).all() and all(c.sum() == size for c in counts)
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*dealt)))) == [(i, k) for i, n in enumerate(slots) for k in range(n)]
+    share = np.array([c[3] / size for c in counts])
+    assert len({tuple(c) for c in counts}) > 1 and 0.01 < share.std() < 0.06  # about sqrt(.74 * .26 / 250)
+
+
+def test_draws_at_any_size():
+    """Far more slots than a sampler's range: numbers stay inside their sources, shares are right."""
+    slots = np.array([150_000_000_000, 50_000_000_000, 7])
+    for shard in (0, 12_345_678, 48_828_125):
+        which, k = mixing.drawn(shard, slots, 4096, 3)
+        assert (k >= 0).all() and (k < slots[which]).all() and len(set(zip(which, k))) == len(k)
+        assert len(k) < 4096 or abs((which == 0).mean() - 0.75) < 0.04
 
 
 def test_plan():
@@ -56,6 +64,7 @@ def test_mix(spark):
     # Every place holds one block, and the pieces of a block fill it.
     places = mix.slots.groupBy("shard", "place").count().filter("count > 1").count()
     assert places == 0 and mix.pieces.groupBy("source", "block").agg(F.sum("piece_tokens").alias("n")).filter("n > 8").count() == 0
+    assert {r.rule: r.n for r in mixing.broken(mix, 8).collect()} == dict.fromkeys(["documents cut into pieces", "full blocks", "repeats of blocks", "slots as planned", "repeats of documents", "shares to a block"], 0)
     again = {tuple(r) for r in mixing.used(mixing.mixed(spark.createDataFrame(docs, DOC), goal, block_tokens=8)).collect()}
     assert again == {tuple(r) for r in rows}
 
