@@ -20,8 +20,8 @@ def audit_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) ->
 
 def daily_activity(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Events per day and result for a live stream, with rows later than `late` behind the newest left out; ids that come
-    again within that time count once."""
-    seen = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
+    again within that time count once, whichever comes first. Rows without an id are left out."""
+    seen = events.withColumn("id", key(F.col("id"))).filter("id IS NOT NULL").withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
     return seen.groupBy(F.window("timestamp", "1 day").start.alias("day"), F.upper("result").alias("result")).agg(F.count("*").alias("n_events"))
 
 

@@ -171,6 +171,56 @@ def test_report_and_tree(spark):
     found = reliability.reliability(*args)
     lines = [x.line for x in reliability.audit_tree("A", args[0], args[2], found).collect()]
     assert lines == ["[A R:0.40] t", "  --(CL:2)-->\n  [B R:0.50] t", "  [members]", "    - [M R:0.00] M"]
+    noted = [x.line for x in reliability.audit_tree("A", args[0], args[2], reliability.tree_scores(*args)).collect()]
+    assert noted[:2] == ["[A R:0.40] t", "  ! CL Penalty applied for B"]
+    assert {(x.id, x.factor, x.n) for x in reliability.factor_rows(*args).collect()} == {("A", "CL Penalty applied for B", 1)}
+
+
+def test_cycle_factors(spark):
+    part = [("b", "a"), ("a", "b"), ("c", "b"), ("s", "s"), ("d", "c")]
+    rel = scores(spark, [], [(s, t, PART, 3) for s, t in part] + [("x", "y", PART, None)])[2]
+    got = {(x.id, x.dep) for x in reliability.cycle_factors(rel).collect()}
+    assert got == {("a", "b"), ("b", "a"), ("s", "s")}
+
+
+def test_levels_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 1)
+    monkeypatch.setattr(graph, "HOPS", 2)
+    rng = random.Random(7)
+    ids = [f"n{i}" for i in range(30)]
+    links = {(a, b) for a, b in (rng.sample(range(30), 2) for _ in range(34)) for a, b in [(min(a, b), max(a, b))]} | {(5, 2), (9, 9)}
+    df = spark.createDataFrame([(ids[a], ids[b]) for a, b in links], "node string, to string")
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b), todo.append(b)
+        return seen
+
+    level = {x.node: x.level for x in graph.levels(df).collect()}
+    named = {x for link in links for x in link}
+    assert set(level) == {ids[x] for x in named}
+    for x in named:
+        above = [y for y in named if x in reach(y)]
+        cyclic = any(y in reach(y) for y in [*above, x])
+        assert (level[ids[x]] is None) == cyclic
+        assert cyclic or level[ids[x]] == max((level[ids[a]] + 1 for a, b in links if b == x), default=0)
+    pairs = [(a, b) for a in range(31) for b in range(0, 31, 3)]
+    name = lambda i: ids[i] if i < 30 else "elsewhere"
+    got = {(x.source, x.target): x.would_cycle for x in graph.closing(spark.createDataFrame([(name(a), name(b)) for a, b in pairs] + [(None, "n1")], "source string, target string"), df).collect()}
+    assert got.pop((None, "n1")) is False
+    assert got == {(name(a), name(b)): a == b or (b < 30 and a in reach(b)) for a, b in pairs}
+
+
+def test_a_long_chain_in_a_tree(spark):
+    _, _, rel, _ = scores(spark, [], [(f"n{i + 1:03}", f"n{i:03}", PART, 3) for i in range(100)])
+    rows = reliability.audit_trees(spark.createDataFrame([("n000", "t")], "id string, title string"), rel, spark.createDataFrame([("n100", 1.0)], "id string, r double")).collect()
+    assert sorted(r.position for r in rows) == list(range(1, 102)) and max(rows, key=lambda r: r.position).line.endswith("[n100 R:1.00] n100")
 
 
 def test_every_tree(spark):
@@ -231,6 +281,10 @@ def test_store(spark):
     with pytest.raises(ValueError):
         store.appended(rel, new, keys)
     assert store.appended(rel, new.filter("source_id = 'c'"), keys).count() == 2
+    assert [tuple(x) for x in store.clashes(rel, new.union(new.filter("source_id = 'c'")), keys).orderBy("source_id").collect()] == [("a", "b", PART), ("c", "d", PART)]
+    fresh = spark.createDataFrame([("a", "b", PART, "extra"), ("e", "f", PART, "extra"), (None, "f", PART, "extra")], "source_id string, target_id string, relation_type string, waits string")
+    got = {(x.source_id, x.congruence_level, x.created_at) for x in store.inserted(rel, fresh, "relations", model.as_of(str(day(4)))).collect()}
+    assert got == {("a", 1, day(1)), ("e", 3, day(4))}
     logs = spark.createDataFrame([("l1", "default", day(1)), ("l2", "default", day(1)), ("l3", None, None)], "id string, context_id string, timestamp timestamp_ntz")
     assert [x.id for x in store.recent(logs, 1).collect()] == ["l1"]
     assert [x.id for x in store.where(logs, "timestamp", context_id="default").collect()] == ["l1", "l2"]
@@ -240,6 +294,26 @@ def test_store(spark):
     assert {x.id: (x.layer, x.updated_at) for x in store.moved(holons, moves, model.as_of(str(day(3)))).collect()} == {"h": ("L2", day(3)), "i": ("L0", day(1))}
 
 
+def test_lookups(spark, folder):
+    from test_plans import plan
+
+    holons = spark.createDataFrame([("h", "T", day(1)), ("i", "", day(2)), ("j", None, day(1))], "id string, title string, created_at timestamp_ntz")
+    asked = spark.createDataFrame([("h", 1), ("h", 2), ("i", 1), ("x", 1), (None, 1)], "id string, title int")
+    assert sorted(x.id for x in store.lookups(holons, asked).collect()) == ["h", "i"]
+    assert {x.id: x.title for x in store.titles(holons, asked).collect()} == {"h": "T", "i": "i", "x": "x"}
+    one = store.by_id(store.indexed(holons), "i")
+    assert one.first().created_at == day(2) and "EqualTo(id,i)" in plan(one)
+
+
+def test_schemas(spark):
+    from corvane.sources import schemas
+
+    old = spark.createDataFrame([("h", "L0", 1)], "id string, layer string, extra int")
+    row = schemas.conformed(old, "holons", model.as_of(str(day(2)))).first()
+    assert (row.id, row.cached_r_score, row.parent_id, row.created_at, row.updated_at) == ("h", 0.0, None, day(2), day(2)) and len(row) == 12
+    assert all(set(schemas.keys(t)) <= set(schemas.schema(t).names) for t in schemas.TABLES)
+
+
 def test_audit_rows(spark):
     calls = spark.createDataFrame([("l1", "tool", "op", "agent", "h", "SUCCESS", {"b": "2", "a": "1"}, None), ("l2", "tool", "op", "agent", None, "SUCCESS", {"a": "1", "b": "2"}, None), ("l3", None, None, None, None, None, None, None)], "id string, tool_name string, operation string, actor string, target_id string, result string, input map<string,string>, details string")
     rows = {x.id: x for x in store.audit_rows(calls, model.as_of(str(day(3)))).collect()}

@@ -110,7 +110,7 @@ def test_stream(spark, folder):
     from corvane.streaming import audit
 
     path = f"{folder}/audit_log.parque[t]"
-    assert audit.drained(spark, path).agg(F.sum("n_events")).first()[0] == spark.read.parquet(path).count()
+    assert audit.drained(spark, path).agg(F.sum("n_events")).first()[0] == model.audit(spark.read.parquet(path)).count()
     live = audit.daily_activity(audit.audit_stream(spark, path))
     assert live.isStreaming and live.columns == ["day", "result", "n_events"]
 
@@ -135,3 +135,27 @@ def test_waiver_of_this_instant(spark):
     asked = spark.createDataFrame([("e", "2022-01-15", "why"), ("e", "2022-01-14", "why"), ("e", "2022-01-15T00:00:00Z", "why"), ("e", "12:30", "why")], "evidence_id string, until string, rationale string")
     got = [r.problem for r in freshness.waiver_requests(asked, spark.createDataFrame([("e",)], "id string"), model.as_of(str(day(15)))).collect()]
     assert got == [None, "until is not in the future", None, "until is no date"]
+
+
+def test_markdown_files(spark, tmp_path):
+    from corvane.sources import tables
+
+    docs = [("knowledge/L0/a b.md", "---\nx: 1\n---\nbody\n\n"), ("decisions/d=1%.md", ""), ("é.md", "one line"), (None, "nowhere"), ("n.md", None)]
+    tables.write_markdown(spark.createDataFrame(docs, "path string, document string"), str(tmp_path / "md"))
+    assert {(r.path, r.document) for r in tables.read_markdown(spark, str(tmp_path / "md")).collect()} == set(docs[:3])
+
+
+def test_stream_counts_ids_once(spark, tmp_path):
+    from corvane.sources import schemas
+    from corvane.streaming import audit
+
+    rows = [("a", day(1), "t", "o", "x", None, None, "success", None, "c"), ("A ", day(2), "t", "o", "x", None, None, "ERROR", None, "c"), ("b", day(1), "t", "o", "x", None, None, "Success", None, "c"), (None, day(1), "t", "o", "x", None, None, "Success", None, "c")]
+    frame = spark.createDataFrame(rows, schemas.schema("audit_log"))
+    frame.repartition(3).write.parquet(str(tmp_path / "log"))
+    assert [tuple(r) for r in audit.drained(spark, str(tmp_path / "log")).collect()] == [("2022-01-01", "SUCCESS", 2)]
+    (tmp_path / "none").mkdir()
+    assert audit.drained(spark, str(tmp_path / "none")).count() == 0
+    live = audit.daily_activity(audit.audit_stream(spark, str(tmp_path / "log")), "9 days")
+    run = live.writeStream.format("memory").queryName("live_days").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(r.n_events for r in spark.table("live_days").collect()) == 2
