@@ -210,6 +210,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest(parent_links(table(spark, sf_dir, "holons")))
 
 
+def in_small_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """found() in blocks of 200 links, so that levels of blocks are merged on small tables as well."""
+    return forest(parent_links(table(spark, sf_dir, "holons")), 200)
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each holon with its root, depth, path of ids from the root, number of descendants and whether it hangs on a cycle."""
     links = parent_links(table(spark, sf_dir, "holons"))
@@ -252,9 +257,10 @@ ended AS (
   UNION ALL SELECT w.start_id, min(w.id), CAST(-1 AS BIGINT), NULL FROM walk w JOIN ring r ON r.start_id = w.id GROUP BY 1
 )"""
 
-QUERIES = {"p3_found": found, "p3_hierarchy": hierarchy, "p3_descendants": closure, "holon_lineage": lineage}
+QUERIES = {"p3_found": found, "p3_hierarchy": hierarchy, "p3_descendants": closure, "holon_lineage": lineage, "forest_in_small_blocks": in_small_blocks}
 SQL = {
     "p3_found": f"WITH {_LINKS_SQL}{_RING_SQL} SELECT id, root_id, depth FROM ended",
+    "forest_in_small_blocks": f"WITH {_LINKS_SQL}{_RING_SQL} SELECT id, root_id, depth FROM ended",
     "p3_hierarchy": f"""WITH {_LINKS_SQL}{_RING_SQL},
         pairs AS (SELECT unnest(string_split(path, ' / ')[:-2]) AS id FROM down),
         below AS (SELECT id, count(*) AS n FROM pairs GROUP BY 1)
