@@ -170,7 +170,7 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 #: Labelling functions: a statistic and its thresholds; the vote is the number of thresholds reached.
 FUNCTIONS: list[tuple[str, tuple[float, ...]]] = [
-    ("sentence_share", (0.42,)), ("sentence_lines", (0.4,)), ("common_words", (0.1,)), ("distinct_trigrams", (0.5,)), ("plain_words", (0.6,)),
+    ("sentence_share", (0.42,)), ("sentence_lines", (0.4,)), ("common_words", (0.1,)), ("distinct_trigrams", (0.5,)), ("plain_words", (0.75,)),
     ("listed_lines", (0.3,)), ("short_lines", (0.5,)), ("cell_lines", (0.3,)), ("pair_lines", (0.3,)),
     ("entry_lines", (0.3,)), ("heap_lines", (0.3,)), ("log_lines", (0.3,)), ("long_tokens", (0.5,)), ("symbol_ratio", (0.5,)), ("n_words", (1,)),
 ]
@@ -195,6 +195,7 @@ KINDS: list[tuple[str, dict[str, float]]] = [
     ("junk", {"log_lines": 0.95, "short_lines": 0.5, "plain_words": 0.1}),
     ("junk", {"long_tokens": 0.9, "short_lines": 0.5, "plain_words": 0.1}),
     ("junk", {"symbol_ratio": 0.9, "short_lines": 0.5, "plain_words": 0.1}),
+    ("junk", {"plain_words": 0.2, "heap_lines": 0.2}),
     ("junk", {"n_words": 0.05, "distinct_trigrams": 0.05, "plain_words": 0.05}),
 ]
 #: What they say where a kind does not tell.
@@ -274,7 +275,8 @@ def typed(stats: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     codes = np.array(sorted(total), np.int64)
     known = np.zeros((len(codes), len(TYPES)))
     if labels is not None:
-        rows = coded.select("doc_id", "_code").join(labels.select("doc_id", "text_class"), "doc_id").groupBy("_code", "text_class").agg(F.count("*")).collect()
+        # Labels grow with the documents: neither side is broadcast.
+        rows = coded.select("doc_id", "_code").join(labels.select("doc_id", "text_class").hint("merge"), "doc_id").groupBy("_code", "text_class").agg(F.count("*")).collect()
         for code, name, n in rows:
             if name in TYPES:
                 known[np.searchsorted(codes, code), TYPES.index(name)] += n
