@@ -130,9 +130,9 @@ def _closed(k, c, paired, overflow):
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A set of 64-bit hashes as a bit map: a bit per hash modulo a power of two, some 8 times the size of the set. Maps of other
+    """A set of 64-bit hashes as a bit map: a bit per hash modulo a power of two, some 4 times the size of the set, or up to 8. Maps of other
     lengths are made comparable by folding the longer one."""
-    width = max(256, 1 << int(8 * max(len(tokens), 1) - 1).bit_length())
+    width = max(256, 1 << int(4 * max(len(tokens), 1) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[_mixed(tokens.view(np.uint64)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).tobytes()
