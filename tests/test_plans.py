@@ -31,7 +31,7 @@ def test_evidence_scores_take_one_shuffle_per_key(spark, folder):
     assert tree.count("Exchange") <= 2 and "Python" not in text and "content" not in re.search(r"ReadSchema: (.*)", text)[1]
 
 
-@pytest.mark.parametrize("name", ["holons_by_layer", "layer_counts", "components_of", "stale_evidence", "status_summary", "slugify", "tamper_check"])
+@pytest.mark.parametrize("name", ["holon_lookup", "layer_counts", "components_of", "stale_evidence", "status_summary", "slugify", "tamper_check"])
 def test_core_queries_stay_in_the_jvm(spark, folder, name):
     text = plan(__spark_entry__.queries()[name](spark, folder))
     assert not re.search("Python|Pandas|MapInArrow|CartesianProduct|BroadcastNestedLoopJoin", text)
