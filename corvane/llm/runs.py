@@ -45,7 +45,7 @@ def tools(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """tool_name, tool for the distinct written names: the catalogue entry with the longest alias at the end of the name's
     tokens, or, of a name without separators, the one whose alias it is without separators. A name that denotes none
     stands for itself, as tokens. Equi-joins of distinct names with aliases: a catalogue of any size."""
-    known = staged(aliases(catalog), "aliases")
+    known = aliases(catalog)  # small and without a shuffle: cheaper made twice than written
     written = names.filter(F.col("tool_name").isNotNull()).select("tool_name", F.coalesce(name_tokens(F.col("tool_name")), F.lit("")).alias("_tokens"))
     parts = F.split("_tokens", "_")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
