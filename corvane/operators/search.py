@@ -67,8 +67,8 @@ def _changed(b: Base) -> DataFrame:
 
 def _files(b: Base) -> DataFrame:
     """The Markdown projection of holons; where the kind is missing, someone has edited the file since."""
-    edit = F.when(F.col("kind").isNull(), F.lit("\nedited")).otherwise("")
-    return tables.projection(b.holons).join(b.holons.select(F.concat(F.lit("knowledge/"), F.trim("layer"), F.lit("/"), F.col("id"), F.lit(".md")).alias("path"), edit.alias("_edit")), "path").select("path", F.concat("document", "_edit").alias("document"))
+    edited = F.concat("document", F.lit("\nedited"))
+    return tables.projection(b.holons, "kind").select("path", F.when(F.col("kind").isNull(), edited).otherwise(F.col("document")).alias("document"))
 
 
 def _markdown(b: Base) -> DataFrame:

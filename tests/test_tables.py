@@ -145,6 +145,20 @@ def test_markdown_files(spark, tmp_path):
     assert {(r.path, r.document) for r in tables.read_markdown(spark, str(tmp_path / "md")).collect()} == set(docs[:3])
 
 
+def test_markdown_file_each(spark, tmp_path):
+    """A folder a task, not one a document; files hold the bytes of their documents, and only those written last."""
+    from corvane.session import partitions
+    from corvane.sources import tables
+
+    docs = {f"knowledge/L0/h{i}.md": f"text {i}" for i in range(300)} | {"": "no name", "..": "up", "a.gz": "plain", "%2F\n": "\r\né"}
+    tables.write_markdown(spark.createDataFrame([("old.md", "old")], "path string, document string"), str(tmp_path / "md"))
+    tables.write_markdown(spark.createDataFrame([*docs.items(), ("..", "UP")], "path string, document string"), str(tmp_path / "md"))
+    made = list((tmp_path / "md").rglob("*"))
+    assert len([x for x in made if x.is_dir()]) <= partitions(spark)
+    assert sorted(x.read_bytes() for x in made if x.is_file()) == sorted(v.encode() for v in docs.values())
+    assert {r.path: r.document for r in tables.read_markdown(spark, str(tmp_path / "md")).collect()} == docs
+
+
 def test_stream_counts_ids_once(spark, tmp_path):
     from corvane.sources import schemas
     from corvane.streaming import audit
