@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import scalars as S
@@ -11,11 +15,15 @@ from corvane.functions.scalars import clamp_level, relation_of_kind
 from corvane.operators.model import AS_OF, Base, as_of, sql
 from corvane.operators.skew import hot_keys, salted, spread_out
 from corvane.operators.store import WHOLES, q
-from corvane.session import staged
+from corvane.session import partitions, staged
 
 
 #: Steps along links in one job.
 HOPS = 8
+#: A graph of up to so many links is sent to the tasks as numbers, and its names with it.
+LINKS = 1 << 21
+#: Bytes of the map in which a task marks what its seeds have met, and pairs that it finds in one go.
+SEEN, FOUND = 1 << 27, 1 << 21
 
 
 def edges(relations: DataFrame) -> DataFrame:
@@ -42,16 +50,86 @@ def _met(rows: DataFrame, if_: str, steps: DataFrame, hot: DataFrame | None) ->
     return spread_out(keyed, hot, "_key").join(steps.withColumnRenamed("node", "_key"), ["_key", "_salt"], "left")
 
 
-def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """seed, node: everything each seed reaches over links, itself included. seeds: seed; links: node, to.
+def reachable(seeds: DataFrame | None, links: DataFrame) -> DataFrame:
+    """seed, node: everything each seed reaches over links, itself included. seeds: seed, or None for all nodes that a link
+    leaves; links: node, to.
 
-    Frontier by frontier, HOPS steps a job: only pairs found in the last step are followed, and those known from jobs
-    before are dropped by an anti join, so cycles end and the number of steps is the longest shortest path. Hot nodes are
-    salted.
+    Up to LINKS links each task holds the graph and searches from its share of the seeds: no pair is shuffled, and there is
+    one job however deep the graph is. A larger graph is followed frontier by frontier.
+    """
+    links = staged(links.select("node", "to").filter("node IS NOT NULL AND to IS NOT NULL"), "links")
+    seeds = (links.select(F.col("node").alias("seed")) if seeds is None else seeds.select("seed")).filter("seed IS NOT NULL").distinct()
+    return _searched(seeds, links) if links.count() <= LINKS else _by_frontier(seeds, links)
+
+
+def _searched(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    spark = links.sparkSession
+    table = links.toArrow()
+    ends = [table.column(c).combine_chunks() for c in ("node", "to")]
+    names = pc.unique(pa.chunked_array(ends, pa.string()))
+    node, to = (pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(np.int32) for x in ends)
+    first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(names)))])
+    graph = spark.sparkContext.broadcast((first, to[np.argsort(node, kind="stable")], names))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, to, names = graph.value
+        n, seen = len(names), np.zeros(0, bool)
+        for batch in batches:
+            at = pc.index_in(batch.column(0), value_set=names)
+            alone = batch.column(0).filter(pc.is_null(at))  # outside all links
+            yield pa.RecordBatch.from_arrays([alone, alone], ["seed", "node"])
+            at = at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            many = max(1, SEEN // max(1, n))
+            if len(seen) < min(many, len(at)) * n:
+                seen = np.zeros(min(many, len(at)) * n, bool)
+            for i in range(0, len(at), many):
+                for some, pairs in reach_of(at[i : i + many], first, to, seen):
+                    for j in range(0, len(pairs), 1 << 17):
+                        own, met = np.divmod(pairs[j : j + (1 << 17)], n)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(some[own])), names.take(pa.array(met))], ["seed", "node"])
+
+    # Each task's share of the pairs is larger than its share of the seeds.
+    return seeds.repartition(4 * partitions(spark)).mapInArrow(search, "seed string, node string")
+
+
+def reach_of(seeds: np.ndarray, first: np.ndarray, to: np.ndarray, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What seeds reach in a graph of numbers: the links of node x lead to to[first[x] : first[x + 1]].
+
+    Seeds, and the pairs of them as (place of the seed among these) * (number of nodes) + node, in order. Where the pairs, or the
+    links looked at in a step, are more than FOUND, half the seeds at a time. seen is false throughout before and after.
     """
+    n = len(first) - 1
+    pairs = np.arange(len(seeds)) * n + seeds
+    seen[pairs] = True
+    found, total = [pairs], len(pairs)
+    while len(pairs):
+        own, node = np.divmod(pairs, n)
+        counts = first[node + 1] - first[node]
+        after = np.cumsum(counts)
+        if len(seeds) > 1 and total + after[-1] > FOUND:
+            break
+        step = np.arange(after[-1]) + np.repeat(first[node] - after + counts, counts)
+        pairs = np.repeat(own * n, counts) + to[step]
+        pairs = np.unique(pairs[~seen[pairs]])
+        seen[pairs] = True
+        found.append(pairs)
+        total += len(pairs)
+    every = np.concatenate(found)
+    seen[every] = False
+    if len(pairs):
+        yield from reach_of(seeds[: len(seeds) // 2], first, to, seen)
+        yield from reach_of(seeds[len(seeds) // 2 :], first, to, seen)
+    else:
+        yield seeds, np.sort(every)
+
+
+def _by_frontier(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """Frontier by frontier, HOPS steps a job: only pairs found in the last step are followed, and those known from jobs
+    before are dropped by an anti join, so cycles end and the number of steps is the longest shortest path. Hot nodes are
+    salted."""
     hot = hot_keys(links, "node")
     steps = staged(salted(links, hot, "node", ["to"]).withColumn("level", F.lit(None).cast("int")), "steps")
-    known = staged(seeds.select("seed", F.col("seed").alias("node")).filter(F.col("seed").isNotNull()).distinct(), "front")
+    known = staged(seeds.select("seed", F.col("seed").alias("node")), "front")
     front = known
     while not front.isEmpty():
         found = front.select("seed", "node", F.lit(None).cast("int").alias("top"), F.lit(True).alias("on"))
@@ -185,7 +263,7 @@ def _decisions(b: Base) -> DataFrame:
 
 
 QUERIES = {
-    "reachability": q(lambda b: reachable(edges(b.relations).select(F.col("node").alias("seed")), edges(b.relations))),
+    "reachability": q(lambda b: reachable(None, edges(b.relations))),
     "would_create_cycle": q(lambda b: closing(b.relations.filter("relation_type = 'dependsOn'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), edges(b.relations))),
     "self_loops": q(lambda b: b.relations.filter("source_id = target_id").select("source_id", "relation_type")),
     "proposal_links": q(lambda b: proposal_links(_proposals(b), b.holons, b.relations)),

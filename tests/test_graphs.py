@@ -262,6 +262,38 @@ def test_reachable_and_cycles(spark, monkeypatch):
     assert {(x.source, x.target): x.would_cycle for x in graph.closing(cand, links).collect()} == {("f", "a"): True, ("a", "f"): False, ("q", "q"): True}
 
 
+@pytest.mark.parametrize("sizes", [(1 << 21, 1 << 27, 1 << 21), (1 << 21, 200, 30), (1 << 21, 1, 1), (0, 1, 1)])
+def test_reachable_of_random_graphs(spark, monkeypatch, sizes):
+    """In the tasks, in blocks and halves of seeds, and frontier by frontier; deep without a job for every few steps."""
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or real(df, label))
+    from corvane.session import staged as real
+
+    for name, value in zip(("LINKS", "SEEN", "FOUND"), sizes):
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(7)
+    links = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)} | {(f"c{i}", f"c{i + 1}") for i in range(12)} | {("c9", "n0"), ("é", "c12")}
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    df = spark.createDataFrame([*links, *list(links)[:5], (None, "n1"), ("n1", None)], "node string, to string")
+    ids = [*out, "elsewhere"]
+    for seeds in (spark.createDataFrame([(x,) for x in [*ids, "c0", None]], "seed string"), None):
+        got = sorted(map(tuple, graph.reachable(seeds, df).collect()))
+        assert got == sorted((a, b) for a in (ids if seeds else out) for b in reach(a))
+    assert sizes[0] == 0 or written == ["links", "links"]
+    assert graph.reachable(spark.createDataFrame([("x",)], "seed string"), df.filter("false")).collect() == [("x", "x")]
+
+
 def test_proposals_and_decisions(spark):
     holons = spark.createDataFrame([("api",), ("auth",), ("new",)], "id string")
     props = spark.createDataFrame([("new", "system", 9, ["api", "auth", "ghost", "new", None]), ("api", "episteme", 1, ["new"])], "id string, kind string, level int, depends_on array<string>")
